@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     return (
         b.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
