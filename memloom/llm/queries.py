@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memloom.llm import chat_format, mixing, packing, secret_scan
+from memloom.llm import chat_format, embedding_dedup, mixing, packing, secret_scan, substring_dedup, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicate(table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -28,15 +33,26 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.summary(chat_format.render(chat_format.messages(chat_format.table_events(chats.unionByName(extra)))))
 
 
+def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.summary(substring_dedup.deduplicate(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op2_secret_scan": op2_secret_scan,
+    "op3_pivot_permutation": op3_pivot_permutation,
     "op5_chat_format": op5_chat_format,
+    "op7_histogram_topk": op7_histogram_topk,
     "op9_harmonic_packing": op9_harmonic_packing,
+    "op10_seed_extend": op10_seed_extend,
 }
 
 SQL: dict[str, str] = {
@@ -55,4 +71,37 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(13 + length(r) + length(x)) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op3_pivot_permutation": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.a = e.vec_id""",
+    "op7_histogram_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op10_seed_extend": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM w),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM t),
+f AS (SELECT x, min(doc_id) AS lo FROM h GROUP BY x HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p FROM h JOIN f USING (x) WHERE doc_id > lo),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+o AS (
+  SELECT k.doc_id, count(g.p) AS n_removed, coalesce(string_agg(k.word, ' ' ORDER BY k.p) FILTER (WHERE g.p IS NULL), '') AS kept
+  FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY k.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(o.n_removed, 0) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256
+FROM w LEFT JOIN o USING (doc_id)""",
 }
