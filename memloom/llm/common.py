@@ -120,7 +120,7 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(words)
     if n < k:
         return np.zeros(0, np.uint64)
-    h = np.full(n - k + 1, seed & _MASK, np.uint64)
+    h = np.full(n - k + 1, int(seed) & _MASK, np.uint64)
     for j in range(k):
         h = h * np.uint64(_WIN) + words[j : n - k + 1 + j]
     return mix64(h)
