@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat_format, embedding_dedup, minhash_dedup, mixing, packing, secret_scan, substring_dedup, topk_search, toxicity
+from memloom.llm import chat_format, embedding_dedup, minhash_dedup, mixing, packing, secret_scan, substring_dedup, topk_search, toxicity, warc_revisit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.summary(chat_format.render(chat_format.messages(chat_format.table_events(chats.unionByName(extra)))))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisit.summary(warc_revisit.resolve(warc_revisit.table_captures(table(spark, sf_dir, "pages"))))
+
+
 def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivot_permutation": op3_pivot_permutation,
     "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
     "op5_chat_format": op5_chat_format,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_histogram_topk": op7_histogram_topk,
     "op8_bayes_minhash": op8_bayes_minhash,
     "op9_harmonic_packing": op9_harmonic_packing,
@@ -128,4 +133,29 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op6_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id, md5(coalesce(html, '')) AS tag, sha256(coalesce(html, '')) AS sha, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+u AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '(:80|:443)$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid|ref)(=|$)'))), '&') AS query
+  FROM p),
+k AS (
+  SELECT page_id, tag, sha, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url,
+    page_id + CASE WHEN page_id % 11 = 5 THEN -1000000000 ELSE 1000000000 END AS again
+  FROM u),
+c AS (
+  SELECT page_id * 2 AS record_id, canonical_url, page_id AS "at", 'response' AS kind, tag AS etag, sha AS digest FROM k
+  UNION ALL SELECT page_id * 2 + 1, canonical_url, again, 'revisit', CASE WHEN page_id % 7 = 3 THEN 'x' || tag ELSE tag END, NULL FROM k),
+r AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'digest': digest} END IGNORE NULLS)
+    OVER (PARTITION BY canonical_url ORDER BY "at", record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
+s AS (
+  SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN r IS NULL OR canonical_url IS NULL THEN 'orphan' WHEN r.etag = etag THEN 'resolved' ELSE 'mismatch' END AS status FROM r)
+SELECT record_id, canonical_url, kind, status, CASE WHEN status = 'resolved' THEN r.id END AS refers_to,
+  CASE status WHEN 'response' THEN digest WHEN 'resolved' THEN r.digest END AS digest,
+  CASE WHEN status IN ('response', 'resolved') THEN 'content-type: text/html' || chr(10) || 'date: ' || "at" END AS headers
+FROM s""",
 }
