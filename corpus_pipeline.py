@@ -6,17 +6,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memloom.llm import packing
+from memloom.llm import minhash_dedup, mixing, packing, secret_scan, toxicity
 from memloom.llm.common import stage_dir
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of those that came."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return minhash_dedup.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by marks; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents in the order of the mix."""
+    return mixing.mix(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_copies),
+    ("secret_scan", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # a trained classifier and a tokenizer have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
