@@ -151,11 +151,11 @@ c AS (
   UNION ALL SELECT page_id * 2 + 1, canonical_url, again, 'revisit', CASE WHEN page_id % 7 = 3 THEN 'x' || tag ELSE tag END, NULL FROM k),
 r AS (
   SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'digest': digest} END IGNORE NULLS)
-    OVER (PARTITION BY canonical_url ORDER BY "at", record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
+    OVER (PARTITION BY canonical_url ORDER BY "at", record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c),
 s AS (
-  SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN r IS NULL OR canonical_url IS NULL THEN 'orphan' WHEN r.etag = etag THEN 'resolved' ELSE 'mismatch' END AS status FROM r)
-SELECT record_id, canonical_url, kind, status, CASE WHEN status = 'resolved' THEN r.id END AS refers_to,
-  CASE status WHEN 'response' THEN digest WHEN 'resolved' THEN r.digest END AS digest,
+  SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN prior IS NULL OR canonical_url IS NULL THEN 'orphan' WHEN prior.etag = etag THEN 'resolved' ELSE 'mismatch' END AS status FROM r)
+SELECT record_id, canonical_url, kind, status, CASE WHEN status = 'resolved' THEN prior.id END AS refers_to,
+  CASE status WHEN 'response' THEN digest WHEN 'resolved' THEN prior.digest END AS digest,
   CASE WHEN status IN ('response', 'resolved') THEN 'content-type: text/html' || chr(10) || 'date: ' || "at" END AS headers
 FROM s""",
 }
