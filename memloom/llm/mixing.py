@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 BLOCKS = 2048
 #: Rows of a source that are numbered in one task, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2000
 #: Sources up to which the schedule is broadcast; beyond, Spark joins it as it likes.
 BROADCAST_SOURCES = 10_000
 SMOOTHING = 0.5
@@ -109,8 +109,9 @@ def assign(docs: DataFrame, weights: Mapping[str | None, float] | None = None, b
     counts = own.groupBy("src").agg(F.count("*").alias("n"))
     total, n_sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     block_rows = block_rows or max(1, -(-total // BLOCKS))
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    own = own.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    # a source has as many buckets as it needs, so a hot one is numbered in many tasks
+    buckets = counts.select("src", F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("buckets"))
+    own = own.join(F.broadcast(buckets) if n_sources <= BROADCAST_SOURCES else buckets, "src").withColumn("bucket", F.pmod("h", F.col("buckets"))).drop("buckets")
     sizes = own.groupBy("src", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("src", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
