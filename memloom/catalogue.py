@@ -14,6 +14,7 @@ from memloom.functions import scalars, text
 from memloom.operators import decision, dense, evaluate, fusion, graph, history, lexical, memory, parsers, readout, retrieval, tense, threads
 from memloom.plans import search
 from memloom.sources import fixtures as fx
+from memloom.stage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,7 +86,7 @@ def units_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)")
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    d = fx.table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    d = spread(fx.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 

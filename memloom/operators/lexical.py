@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import tokens
+from memloom.stage import spread
 
 #: Question terms up to which the lookup is broadcast.
 BROADCAST_TERMS = 100_000
@@ -17,7 +18,7 @@ BROADCAST_TERMS = 100_000
 
 def term_frequencies(docs: DataFrame, text_tokens: Column | None = None) -> DataFrame:
     """(scope, id, term, tf, length) of docs (scope, id, text)."""
-    t = docs.select("scope", "id", (tokens(F.col("text")) if text_tokens is None else text_tokens).alias("t"))
+    t = spread(docs.select("scope", "id", "text")).select("scope", "id", (tokens(F.col("text")) if text_tokens is None else text_tokens).alias("t"))
     each = t.select("scope", "id", F.size("t").alias("length"), F.explode("t").alias("term"))
     return each.groupBy("scope", "id", "term", "length").agg(F.count("*").alias("tf"))
 
@@ -36,7 +37,7 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b: floa
     """
     if not k1 > 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b in [0, 1]")
-    with_tokens = docs.select("scope", "id", tokens(F.col("text")).alias("t"))
+    with_tokens = spread(docs.select("scope", "id", "text")).select("scope", "id", tokens(F.col("text")).alias("t"))
     lengths = with_tokens.select("scope", F.size("t").alias("length"))
     stats = (lengths if count_empty else lengths.where("length > 0")).groupBy("scope").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     asked = question_terms(questions)

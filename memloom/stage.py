@@ -29,3 +29,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a table for each core up to which a scan of too few files is dealt out.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is a small table in fewer files than there are cores, so one file's only task doesn't do all the work; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES and 0 < len(df.inputFiles()) < cores else df
