@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import scalars, text
-from memloom.operators import decision, dense, evaluate, fusion, graph, history, lexical, memory, parsers, readout, retrieval, tense, threads
+from memloom.operators import decision, dense, evaluate, fusion, graph, history, lexical, lineage, memory, parsers, readout, retrieval, tense, threads
 from memloom.plans import search
 from memloom.sources import fixtures as fx
 from memloom.stage import spread
@@ -648,6 +648,34 @@ def contradiction_note(spark: SparkSession, sf: str) -> DataFrame:
     return decision.contradictions(m.select(F.col("session_id").alias("question_id"), F.col("idx").alias("rank"), F.col("record_id").alias("id"), "role", part(37).alias("affirm"), part(53).alias("deny")))
 
 
+@query(f"WITH {M} SELECT session_id AS region, count(*) AS revision, arg_max(content, seq) AS content FROM m WHERE role = 'user' GROUP BY session_id")
+def lineage_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Each session as a lineage that every message of the person revises."""
+    m = fx.messages(spark, sf).where("role = 'user'").select(F.col("session_id").alias("region"), F.col("seq").alias("ord"), "content", F.array("record_id").alias("support"), F.col("occurred_at").alias("at"))
+    return lineage.heads(lineage.promote(spark.createDataFrame([], lineage.LINEAGE), m)).select("region", F.col("revision").cast("long").alias("revision"), "content")
+
+
+@query("""WITH c AS (SELECT conv_id, CAST(conv_id % 10 AS VARCHAR) AS u, conv_id || ':' || turn AS memory_id, turn, conv_id || ':' || ((turn - 1) // 2) AS up, conv_id || ':0' AS root FROM conversations),
+l AS (SELECT *, 'line_' || sha256('line|' || u || '|' || root)[1:32] AS line_id FROM c)
+SELECT memory_id, line_id, 'node_' || sha256('node|' || line_id || '|' || memory_id)[1:32] AS node_id,
+  CASE WHEN turn > 0 THEN 'node_' || sha256('node|' || line_id || '|' || up)[1:32] END AS parent, CASE WHEN turn = 0 THEN NULL WHEN turn % 4 = 3 THEN 'part' ELSE 'after' END AS kind FROM l""")
+def placements(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as batches of blocks, each going on from turn (t - 1) div 2."""
+    c = fx.table(spark, sf, "conversations")
+    after = F.when(F.col("turn") > 0, F.concat(F.lit("b"), F.expr("(turn - 1) div 2 + 1")))
+    p = c.select((F.col("conv_id") % 10).cast("string").alias("user_id"), F.col("conv_id").alias("batch"), (F.col("turn") + 1).alias("ord"), F.concat_ws(":", "conv_id", "turn").alias("memory_id"), after.alias("after"), (F.col("turn") % 4 == 3).alias("part"), F.lit(True).alias("happened"))
+    none = spark.createDataFrame([], "node_id string, line_id string")
+    return lineage.apply_placements(p, none).select("memory_id", "line_id", "node_id", "parent", "kind")
+
+
+@query(f"""WITH {M}, s AS (SELECT user_id AS window_id, session_id AS stretch_id, max(seq) AS last_seq, (min(seq) * 31 % 97) / CAST(97 AS DOUBLE) AS cosine FROM m GROUP BY user_id, session_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY last_seq DESC, stretch_id) AS late, row_number() OVER (PARTITION BY window_id ORDER BY cosine DESC, last_seq DESC, stretch_id) AS near FROM s)
+SELECT window_id, stretch_id FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY CASE WHEN late <= 3 THEN 0 ELSE 1 END, CASE WHEN late <= 3 THEN late ELSE near END) AS place FROM k) WHERE place <= 8""")
+def earlier_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.messages(spark, sf).groupBy(F.col("user_id").alias("window_id"), F.col("session_id").alias("stretch_id")).agg(F.max("seq").alias("last_seq"), (F.min("seq") * 31 % 97 / F.lit(97.0)).alias("cosine"))
+    return lineage.earlier_stretches(s).select("window_id", "stretch_id")
+
+
 # ---------------------------------------------------------------- evaluation and readout
 
 _JUDGED = """j AS (SELECT 'A' AS arm, doc_id AS id, quality AS v, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM labels UNION ALL SELECT 'B', doc_id, 1 - toxic, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END FROM labels)"""
