@@ -34,3 +34,19 @@ def test_query_equals_its_sql(spark, name):
     cols = sorted(got.columns)
     key = lambda r: tuple(str(x) for x in r)
     assert sorted((key(r) for r in got.select(*cols).collect())) == sorted(key(r) for r in want.select(", ".join(f'"{c}"' for c in cols)).fetchall())
+
+
+def test_stages_take_odd_rows_and_an_empty_table(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "plain text", "en", "a", 10), (1, "plain text", "en", "a", 10), (2, None, None, None, None), (None, "no id", "en", "a", 5), (3, "", "en", None, 0), (4, long, "en", "b", len(long)), (5, long, "en", "b", len(long)), (6, 'token = "abcdef12"', "en", "b", 18)]
+    df = spark.createDataFrame([(*r, 7, "x", 1.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, rep long, block string, score double")
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, SF).cache()
+            assert after.dtypes == df.dtypes, name
+            docs = after
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        ids = {r.doc_id for r in docs.collect()}
+        assert {r.doc_id for r in packed.collect()} == ids
+        assert ids in ({1, 2, None, 3, 4, 6}, set())
+    assert [r.text for r in corpus_pipeline.redact_secrets(spark, df.where("doc_id = 6"), SF).collect()] == ["[SECRET:assign]\""]
