@@ -11,6 +11,10 @@ from memloom import schemas
 from memloom.functions.scalars import message_time
 
 
+#: Requests whose messages are numbered in one task, about.
+BUCKET_REQUESTS = 10_000
+
+
 class RequestConflict(ValueError):
     """A request_id came again with other content."""
 
@@ -81,8 +85,8 @@ def check_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def append_requests(valid: DataFrame, stored: DataFrame, messages: DataFrame, received_at) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(requests, messages, conflicts): what is new is to be appended; first write wins, and a replay of the same payload adds nothing.
 
-    valid may repeat a request. Numbers go on from the store's last seq: requests in order of their ids, messages in their order. They are
-    dense within a batch: the counts of earlier requests are summed per request, not per message.
+    valid may repeat a request. Numbers go on from the store's last seq: requests by bucket and id, messages in
+    their order, without gaps.
     """
     first = Window.partitionBy("request_id").orderBy("payload_hash")
     ranked = valid.withColumn("n", F.row_number().over(first)).withColumn("hash0", F.first("payload_hash").over(first))
@@ -91,8 +95,14 @@ def append_requests(valid: DataFrame, stored: DataFrame, messages: DataFrame, re
     conflicts = both.where(F.coalesce("had", "hash0") != F.col("payload_hash")).select("request_id", "payload_hash")
     new = both.where("n = 1 AND had IS NULL").withColumn("received_at", received_at)
     last = messages.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    size = new.select("request_id", F.size("messages").alias("size"))
-    start = size.withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + last).drop("size")
+    n_new = new.count()
+    bucket = F.pmod(F.xxhash64("request_id"), F.lit(max(1, -(-n_new // BUCKET_REQUESTS))))
+    size = new.select("request_id", F.size("messages").alias("size"), bucket.alias("bucket"))
+    upto = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a bucket is summed in one task, not one a request
+    ahead = size.groupBy("bucket").agg(F.sum("size").alias("size")).withColumn("ahead", upto(Window.orderBy("bucket"))).drop("size")
+    own = size.withColumn("within", upto(Window.partitionBy("bucket").orderBy("request_id")))
+    start = own.join(ahead, "bucket").select("request_id", (F.col("ahead") + F.col("within") + last).alias("start"))
     requests = new.withColumn("status", F.lit("received")).select(*schemas.of("requests").names)
     each = new.join(start, "request_id").select("*", F.posexplode("messages").alias("idx", "m"))
     out = each.select(
