@@ -99,19 +99,19 @@ def assign(docs: DataFrame, weights: Mapping[str | None, float] | None = None, b
 
     docs needs doc_id and source. A null source is a source of its own; null ids and repeated rows
     are numbered like others; an empty table gives no rows. keep: all other columns of docs stay, in a
-    struct `row`. Rows of a source come by a hash of doc_id, so a block is a fair sample of its source.
+    struct `row`. Rows of a source come by the MD5 of doc_id, so a block is a fair sample of its source.
     """
     own = docs.select(
         F.col("doc_id"), F.col("source"),
         F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("src"),
-        F.xxhash64("doc_id").alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []),
     )
     counts = own.groupBy("src").agg(F.count("*").alias("n"))
     total, n_sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     block_rows = block_rows or max(1, -(-total // BLOCKS))
     # a source has as many buckets as it needs, so a hot one is numbered in many tasks
     buckets = counts.select("src", F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("buckets"))
-    own = own.join(F.broadcast(buckets) if n_sources <= BROADCAST_SOURCES else buckets, "src").withColumn("bucket", F.pmod("h", F.col("buckets"))).drop("buckets")
+    own = own.join(F.broadcast(buckets) if n_sources <= BROADCAST_SOURCES else buckets, "src").withColumn("bucket", F.conv(F.substr("h", F.lit(1), F.lit(8)), 16, 10).cast("long") % F.col("buckets")).drop("buckets")
     sizes = own.groupBy("src", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("src", "bucket", F.coalesce(before, F.lit(0)).alias("before"))

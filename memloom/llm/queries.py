@@ -158,4 +158,27 @@ SELECT record_id, canonical_url, kind, status, CASE WHEN status = 'resolved' THE
   CASE status WHEN 'response' THEN digest WHEN 'resolved' THEN prior.digest END AS digest,
   CASE WHEN status IN ('response', 'resolved') THEN 'content-type: text/html' || chr(10) || 'date: ' || "at" END AS headers
 FROM s""",
+    "op1_pfair_mixing": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+b AS (SELECT greatest(1, CAST(ceil(count(*) / 2048) AS BIGINT)) AS rows, count(*) AS total FROM d),
+c AS (
+  SELECT src, count(*) AS n, greatest(CAST(round(1000 * sqrt(count(*) / CAST(any_value(total) AS DOUBLE))) AS BIGINT), 1) AS a,
+    CAST(ceil(count(*) / any_value(b.rows)) AS BIGINT) AS blocks, row_number() OVER (ORDER BY src) AS i
+  FROM d, b GROUP BY src),
+e AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, list({'i': i, 'a': a, 'rest': blocks, 'k': CAST(0 AS BIGINT), 'done': CAST(0 AS BIGINT)} ORDER BY i) AS s, CAST(sum(a) AS BIGINT) AS w,
+    CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS block, CAST(sum(blocks) AS BIGINT) AS todo FROM c
+  UNION ALL
+  SELECT slot + 1, list_transform(s, lambda x: {'i': x.i, 'a': x.a, 'rest': x.rest - CAST(x.i = p AS BIGINT),
+      'k': CASE WHEN s[p].rest = 1 THEN 0 ELSE x.k + CAST(x.i = p AS BIGINT) END, 'done': x.done + CAST(x.i = p AS BIGINT)}),
+    CASE WHEN s[p].rest = 1 THEN w - s[p].a ELSE w END, CASE WHEN s[p].rest = 1 THEN 0 ELSE t + 1 END, p, s[p].done, todo - 1
+  FROM (
+    SELECT *, list_sort(list_transform(list_filter(s, lambda x: x.rest > 0 AND (x.k * w) // x.a <= t), lambda x: {'due': ((x.k + 1) * w + x.a - 1) // x.a, 'i': x.i}))[1].i AS p
+    FROM e WHERE todo > 0)),
+f AS (
+  SELECT c.src, e.block, e.slot, e.block * b.rows AS first, sum(least(b.rows, c.n - e.block * b.rows)) OVER (ORDER BY e.slot ROWS UNBOUNDED PRECEDING) - least(b.rows, c.n - e.block * b.rows) AS start
+  FROM e JOIN c ON c.i = e.pick, b WHERE e.slot >= 0),
+r AS (
+  SELECT d.*, row_number() OVER (PARTITION BY d.src ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(ceil(c.n / 2000) AS BIGINT), h, doc_id) - 1 AS rank FROM d JOIN c USING (src))
+SELECT r.doc_id, r.source, f.block, f.slot, CAST(f.start + r.rank - f.first AS BIGINT) AS position FROM r, b JOIN f ON f.src = r.src AND f.block = r.rank // b.rows""",
 }
