@@ -43,6 +43,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of whole texts. A batch is held a few times over, on both sides of the pipe to Python.
+TEXT_ROWS = 1000
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches held to TEXT_ROWS rows at most, since these rows carry whole texts."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return docs
+
+
 # ---------------------------------------------------------------- word hashing
 
 #: Odd multipliers of the polynomial hashes and of the final mixing step (splitmix64).

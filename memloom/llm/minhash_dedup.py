@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import Bloom, components, hash_words, materialize, mix64, text_slices, window_hashes
+from memloom.llm.common import Bloom, components, hash_words, materialize, mix64, text_batches, text_slices, window_hashes
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BATCH, MISS = 24, 5, 24, 1e-5
@@ -252,7 +252,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> Da
     null doc_id, is linked with nothing. Rows repeated under one doc_id share their component and their `kept`;
     doc_ids are taken to stand for one text. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = materialize(profiles(docs, k), "profiles")
     of_set = own.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key")
     classes = materialize(of_set.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")

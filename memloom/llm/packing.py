@@ -14,6 +14,7 @@ import base64
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.common import text_batches
+
 CAPACITY = 1024
 #: Texts of these characters alone are cut into words alike by both libraries; all others go through `tokenizers`.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*\\Z")
@@ -37,14 +40,18 @@ def byte_bpe(json_path: str | None = None, ranks_path: str | None = None) -> Cal
     import tiktoken
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
-    full.encode_special_tokens = True
+    @cache
+    def full() -> Tokenizer:  # read only if a text needs it
+        t = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
+        t.encode_special_tokens = True
+        return t
+
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        return fast.encode_ordinary(text) if _PLAIN.match(text) else full.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text) if _PLAIN.match(text) else full().encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -128,5 +135,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, make_encode
         for closed in bins.rest():
             yield frame(closed)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(work, SCHEMA)

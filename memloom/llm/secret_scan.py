@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.common import text_batches
+
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLES = 6000
 LEAST_TOTAL, LEAST_MEAN = 8.0, 0.2
@@ -129,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
         spans = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find(t or "", model)] for t in b["text"]]
         return pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "spans": spans})
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _map_texts(narrow, ["doc_id", "text"], per_batch, f"doc_id long, spans {SPAN_TYPE}")
 
 
@@ -152,7 +154,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return "".join([*out, text[at:]])
 
     clean_all = F.pandas_udf(lambda s: s.map(clean, na_action="ignore"), "string")
-    out = docs.withColumn("text", clean_all(F.col("text").cast("string")))
+    out = text_batches(docs).withColumn("text", clean_all(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

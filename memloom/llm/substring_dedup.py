@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import Bloom, hash_words, materialize, mix64, text_slices, window_hashes
+from memloom.llm.common import Bloom, hash_words, materialize, mix64, text_batches, text_slices, window_hashes
 
 WINDOW, ANCHOR = 13, 5
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -138,7 +138,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     doc_id comes after no document, so its words stay and remove nothing elsewhere; rows of one doc_id
     don't remove from each other; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spans = removed_spans(docs).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
     joined = docs.withColumn("text_key", F.xxhash64("text")).join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", F.col("spans.start").alias("start"), F.col("spans.n_words").alias("length"))
 

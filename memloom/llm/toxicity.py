@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.common import text_batches
+
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
 FEATURES, LEAST_DOCS, RIDGE, SWAP = 512, 3, 0.1, 1.0
 #: Toxic rows weigh as much as the others together, but at most this much each.
@@ -66,7 +68,7 @@ class Model:
     weights: dict[int, float]
     bias: float
 
-    def scorer(self, most_words: int = 400_000):
+    def scorer(self, most_words: int = 100_000):
         known: dict[str, tuple[int, ...]] = {}
 
         def score(text: str | None) -> float:
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_OTHER))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # SAMPLE_TOXIC + SAMPLE_OTHER ids at most
+    rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # SAMPLE_TOXIC + SAMPLE_OTHER ids at most
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -173,13 +175,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = np.array([one(t) for t in b["text"]], np.float64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    narrow = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return narrow.mapInPandas(work, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that are predicted toxic; columns and order of columns stay."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = text_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def rejected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
