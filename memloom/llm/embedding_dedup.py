@@ -5,7 +5,9 @@ similar pivots in order; inverted lists hold, per label and pivot, the vectors t
 there. Vectors that share SHARED pivots or more are candidates, and a candidate pair is
 verified by its cosine in double precision, in the list of its smallest shared pivot.
 Equal vectors of a label are one entry with a count. Every vector is indexed; the pivots
-alone come from a sample: PIVOTS_MOST at most, and at most PIVOT_FLOATS numbers.
+alone come from a sample: PIVOTS_MOST at most, and at most PIVOT_FLOATS numbers, no two of
+them nearer than APART, so that a large group of near copies holds a few pivots and not its
+share of them. Its members then have the same few pivots, and all their pairs are compared.
 
 Lists are dealt out in blocks of BLOCK entries, and block pairs are compared as matrices, so
 neither a list nor its pairs meet in one row or task; links leave a block pair as counts and
@@ -25,6 +27,8 @@ from memloom.llm.common import components, materialize
 
 COSINE, DEPTH, SHARED = 0.98, 8, 2
 PIVOTS_LEAST, PIVOTS_MOST, PIVOT_FLOATS = 32, 16_384, 1 << 23
+#: No two pivots have this cosine or more.
+APART = 0.9
 BLOCK = 1024
 
 
@@ -40,11 +44,29 @@ def unit(rows: list[np.ndarray]) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
+def thin(rows: np.ndarray, most: int) -> np.ndarray:
+    """The first rows, at most `most`, each under APART to those before it that stay."""
+    kept = rows[:0]
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        part = part[(part @ kept.T).max(1, initial=-1) < APART]
+        near = part @ part.T >= APART
+        stay: list[int] = []
+        for i in range(len(part)):
+            if not near[i, stay].any():
+                stay.append(i)
+        kept = np.concatenate((kept, part[stay]))[:most]
+        if len(kept) == most:
+            break
+    return kept
+
+
 def sample_pivots(classes: DataFrame, n: int, dim: int) -> np.ndarray:
-    """About 2 * sqrt(n) vectors, the first by a hash of their ids."""
-    most = int(min(PIVOTS_MOST, PIVOT_FLOATS // max(dim, 1), max(PIVOTS_LEAST, 2 * n**0.5)))
-    rows = classes.where(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(most).select("v").collect()
-    return unit([r.v for r in rows])
+    """At most about 2 * sqrt(n) vectors, the first by a hash of their ids that are APART, of four times as many."""
+    bound = min(PIVOTS_MOST, PIVOT_FLOATS // max(dim, 1))
+    most = int(min(bound, max(PIVOTS_LEAST, 2 * n**0.5)))
+    rows = classes.where(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(min(bound, 4 * most)).select("v").collect()
+    return thin(unit([r.v for r in rows]), most)
 
 
 def _postings(classes: DataFrame, pivots: dict[int, np.ndarray], depth: int) -> DataFrame:

@@ -39,6 +39,19 @@ def test_links_equal_brute_force_and_recall(spark, monkeypatch):
     assert all(x.kept == (x.vec_id == x.component_id) for x in got.values())
 
 
+def test_recall_with_a_third_of_the_rows_in_one_group_of_near_copies(spark):
+    r = np.random.default_rng(1)
+    n, group, dim = 6000, 2000, 16
+    v = r.normal(size=(n, dim))
+    v[:group] = v[0] / np.linalg.norm(v[0]) + r.normal(size=(group, dim)) * np.sqrt((1 / 0.985 - 1) / dim)
+    v = v[r.permutation(n)].astype(np.float32)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    got = {x.vec_id: x.n_links for x in embedding_dedup.deduplicate(frame(spark, [(i, x.tolist(), 1) for i, x in enumerate(v)])).collect()}
+    assert want.sum() > 0.5 * group**2
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
 def test_empty(spark):
     assert embedding_dedup.deduplicate(frame(spark, [(1, [1.0], 1)]).limit(0)).collect() == []
     assert [tuple(r) for r in embedding_dedup.deduplicate(frame(spark, [(1, None, 1), (2, None, None)])).orderBy("vec_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]
