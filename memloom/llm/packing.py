@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,9 @@ from memloom.llm.common import text_batches
 CAPACITY = 1024
 #: Texts of these characters alone are cut into words alike by both libraries; all others go through `tokenizers`.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*\\Z")
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+#: Token ids of an Arrow batch of pieces, about.
+IDS_OUT = 1 << 20
 
 
 def byte_bpe(json_path: str | None = None, ranks_path: str | None = None) -> Callable[[str], list[int]]:
@@ -103,37 +105,48 @@ class HarmonicBins:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, make_encoder: Callable[[], Callable[[str], list[int]]] = byte_bpe) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    docs needs doc_id and text; other columns are ignored. A null text is empty, and so only
+    ids are the piece's token ids: a training sequence is the ids of its pieces by offset. docs needs
+    doc_id and text; other columns are ignored. A null text is empty, and so only
     end_id is packed; repeated rows are packed as often as they occur; a null doc_id stays null;
     an empty table gives no rows. sequence_id is unique over workers: the partition's number
     times 2**40, plus a count. There is no shuffle, and a re-run task makes the same rows.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 40)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            f = pd.DataFrame(rows, columns=names)
-            return f.astype({"doc_id": "Int64"})
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            *longs, ids = zip(*((d, s, n, c, t, q, o, i) for d, s, n, c, t, i, q, o in rows))
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), tokens], names=[*names, "ids"])
 
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.array([*encode(text or ""), end_id], "<u4")
                 for start, length in cut(len(ids), capacity):
-                    crc = zlib.crc32(ids[start : start + length].tobytes())
-                    rows += bins.take((doc_id, start, length, crc, len(ids)), length)
-                if len(rows) > 20_000:
-                    yield frame(rows)
-                    rows = []
-            yield frame(rows)
+                    piece = ids[start : start + length].copy()  # an open piece doesn't hold its document
+                    closed = bins.take((doc_id, start, length, zlib.crc32(piece.tobytes()), len(ids), piece), length)
+                    rows += closed
+                    held += len(closed) * length
+                    if held >= IDS_OUT:
+                        yield batch_of(rows)
+                        rows, held = [], 0
         for closed in bins.rest():
-            yield frame(closed)
+            rows += closed
+        if rows:
+            yield batch_of(rows)
 
     narrow = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInPandas(work, SCHEMA)
+    return narrow.mapInArrow(work, SCHEMA)
+
+
+def summary(pieces: DataFrame) -> DataFrame:
+    """Pieces with the digest of their ids in place of the ids."""
+    return pieces.drop("ids")

@@ -51,7 +51,7 @@ def op8_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.summary(packing.pack(table(spark, sf_dir, "documents")))
 
 
 def op10_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,18 @@ def test_every_id_lies_in_one_piece_and_nothing_is_padded(spark, full):
     assert packing.pack(docs_frame(spark, rows).limit(0)).collect() == []
 
 
+def test_pieces_hold_their_ids(spark, full, monkeypatch):
+    monkeypatch.setattr(packing, "IDS_OUT", 2000)  # so that there are many batches
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(50, None)]
+    got = packing.pack(docs_frame(spark, rows)).orderBy("doc_id", "start").collect()
+    ids = defaultdict(list)
+    for r in got:
+        assert len(r.ids) == r.length
+        ids[r.doc_id] += r.ids
+    assert ids == {i: full(t or "") + [0] for i, t in rows}
+    assert "ids" not in packing.summary(packing.pack(docs_frame(spark, rows))).columns
+
+
 def test_cut_and_classes():
     for n in (1, 2, 1023, 1024, 1025, 3000):
         pieces = list(packing.cut(n, 1024))
