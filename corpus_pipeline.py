@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from memloom.llm import minhash_dedup, mixing, packing, secret_scan, toxicity
-from memloom.llm.common import stage_dir
+from memloom.llm.common import in_written_order, stage_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return packing.pack(docs)
+    """Pieces of token sequences with their ids, numbered in the order of the mix."""
+    return packing.pack(in_written_order(docs, ["doc_id", "text"]))
 
 
 STAGES = [

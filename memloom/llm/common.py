@@ -55,6 +55,21 @@ def text_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def in_written_order(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of docs; if docs is a Parquet table just read, its rows come back in the order they were written.
+
+    Spark plans files by size and not by name, so the rows are dealt to ranges of (part number, file, row) and sorted
+    there: partition ids follow the order. Any other docs keep the order of their partitions.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return docs.select(*columns)
+    file = F.col("_metadata.file_name")
+    part = F.regexp_extract(file, r"^part-(\d{1,18})", 1)
+    at = F.struct(F.when(part != "", part.cast("long")).alias("part"), file.alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = docs.select(*columns, at.alias("__at"))
+    return placed.repartitionByRange("__at").sortWithinPartitions("__at").select(*columns)
+
+
 # ---------------------------------------------------------------- word hashing
 
 #: Odd multipliers of the polynomial hashes and of the final mixing step (splitmix64).

@@ -1,6 +1,7 @@
 import inspect
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memloom.llm import queries
@@ -50,3 +51,15 @@ def test_stages_take_odd_rows_and_an_empty_table(spark):
         assert {r.doc_id for r in packed.collect()} == ids
         assert ids in ({1, 2, None, 3, 4, 6}, set())
     assert [r.text for r in corpus_pipeline.redact_secrets(spark, df.where("doc_id = 6"), SF).collect()] == ["[SECRET:assign]\""]
+
+
+def test_sequences_follow_the_mix_over_files_of_unlike_size(spark, tmp_path):
+    def text(i):  # each fills a sequence or more; later files are far larger
+        return " ".join(f"w{(i * 7919 + j) % 9973}" for j in range(600 * (1 + i // 25 * 3)))
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(100)], "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    docs.repartitionById(4, F.floor(F.col("doc_id") / 25).cast("int")).sortWithinPartitions("doc_id").write.parquet(path := str(tmp_path / "mixed"))
+    assert len(spark.read.parquet(path).inputFiles()) == 4
+    packed = corpus_pipeline.pack_sequences(spark, spark.read.parquet(path), SF)
+    first = packed.where("start = 0 AND length = 1024").orderBy("sequence_id").collect()
+    assert [r.doc_id for r in first] == list(range(100))
