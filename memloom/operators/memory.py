@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.stage import materialize
+
 ACTIVE, SUPERSEDED, INVALIDATED = "active", "superseded", "invalidated"
 
 
@@ -74,13 +76,22 @@ def superseded(memories: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("memory_id", F.lit(SUPERSEDED).alias("lifecycle"), "at")
 
 
-def supersede_chain(links: DataFrame, most: int = 100) -> DataFrame:
-    """(memory_id, head, steps): from each memory along links (memory_id, superseded_by) to the newest one."""
-    from memloom.operators.graph import closure
+def supersede_chain(links: DataFrame) -> DataFrame:
+    """(memory_id, head, steps): from each memory along links (memory_id, superseded_by) to the newest one, the farthest where they fork.
 
-    starts = links.select(F.col("memory_id").alias("start")).distinct()
-    reached = closure(starts, links.select(F.col("memory_id").alias("src"), F.col("superseded_by").alias("dst")), most)
-    return reached.groupBy("start").agg(F.max_by("node", "depth").alias("head"), F.max("depth").alias("steps")).withColumnRenamed("start", "memory_id")
+    Each round doubles the steps that are followed, to the end of the longest chain; a cycle has no newest memory and raises.
+    """
+    jump = materialize(links.select("memory_id", F.col("superseded_by").alias("to")).distinct(), "jump")
+    most, reach = jump.count(), 1
+    best = jump.groupBy("memory_id").agg(F.max(F.struct(F.lit(1).alias("steps"), F.col("to").alias("head"))).alias("far"))
+    while jump.limit(1).count():
+        if reach > most:
+            raise Conflict("memories supersede each other in a cycle")
+        beyond = best.select(F.col("memory_id").alias("to"), F.struct((F.col("far.steps") + reach).alias("steps"), F.col("far.head").alias("head")).alias("far"))
+        best = materialize(best.unionByName(jump.join(beyond, "to").select("memory_id", "far")).groupBy("memory_id").agg(F.max("far").alias("far")), "best")
+        jump = materialize(jump.join(jump.select(F.col("memory_id").alias("to"), F.col("to").alias("next")), "to").select("memory_id", F.col("next").alias("to")).distinct(), "jump")
+        reach *= 2
+    return best.select("memory_id", "far.head", "far.steps")
 
 
 def missing_support(memories: DataFrame, named: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from memloom import schemas
+from memloom import catalogue, schemas
 from memloom.operators import memory, threads
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -147,3 +147,19 @@ def test_known_lines(spark):
     cards = spark.createDataFrame(rows, "question string, summary string, settled boolean, last_active timestamp, search_text string, ord long")
     got = {r.question: r.route for r in threads.select_known_lines(cards, "we go to rome", F.expr(NOW), recent=1).collect()}
     assert got == {"due 2024-02-01 06:00": "due", "fresh": "recent", "cue": "cued"}
+
+
+def test_supersede_chain_goes_to_the_end(spark):
+    links = lambda rows: spark.createDataFrame(rows, "memory_id string, superseded_by string")
+    chain = [(f"m{i}", f"m{i + 1}") for i in range(150)]
+    got = {r.memory_id: (r.head, r.steps) for r in memory.supersede_chain(links([*chain, ("m148", "side"), ("x", "y")])).collect()}
+    assert got == {f"m{i}": ("m150", 150 - i) for i in range(150)} | {"x": ("y", 1)}
+    with pytest.raises(memory.Conflict):
+        memory.supersede_chain(links([("a", "b"), ("b", "c"), ("c", "b")]))
+    assert memory.supersede_chain(links(chain).limit(0)).collect() == []
+
+
+def test_supersede_chain_query_takes_long_conversations(spark, tmp_path):
+    spark.range(12).selectExpr("1L AS conv_id", "CAST(id AS int) AS turn", "'user' AS role", "'t' AS text").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {tuple(r) for r in catalogue.supersede_chain(spark, str(tmp_path)).select("memory_id", "head", "steps").collect()}
+    assert got == {(f"1:{i}", "1:11", 11 - i) for i in range(11)}
