@@ -96,6 +96,12 @@ def term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.term_frequencies(d).where("tf >= 20").select(F.col("id").alias("doc_id"), "term", "tf")
 
 
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL")
+def term_frequencies_all(spark: SparkSession, sf: str) -> DataFrame:
+    d = fx.table(spark, sf, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("id"), "text")
+    return lexical.term_frequencies(d).select(F.col("id").alias("doc_id"), "term", "tf")
+
+
 @query(f"WITH {M} SELECT record_id FROM m WHERE NOT {NOISE}")
 def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
     return fx.messages(spark, sf).where(~scalars.is_noise(F.col("role"), F.col("content"))).select("record_id")
