@@ -14,7 +14,6 @@ from .helpers import docs_frame, words
 @pytest.fixture(scope="module")
 def full():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -70,3 +69,35 @@ def test_cut_and_classes():
         assert sum(p for _, p in pieces) == n and [s for s, _ in pieces] == [sum(p for _, p in pieces[:i]) for i in range(len(pieces))]
     with pytest.raises(ValueError):
         packing.HarmonicBins(1000, 0)
+
+
+def test_special_strings_have_the_ids_of_the_plain_call(full):
+    assert packing.byte_bpe()("a <|endoftext|> b") == full("a <|endoftext|> b")
+
+
+def test_a_bin_of_class_k_holds_k_remainders_and_few_pieces_a_document(monkeypatch):
+    capacity, r = 64, np.random.default_rng(5)
+    bins = packing.HarmonicBins(capacity, 7)
+    sizes = [int(x) for x in r.integers(1, 200, 3000)] + [1] * 70 + [64, 128, 63]
+    out = [x for i, n in enumerate(sizes) for x in bins.take((i, n), np.arange(n, dtype="<u4"))]
+    assert sum(map(len, bins.open.values())) + sum(map(len, bins.waiting)) < capacity * 3
+    full = len(out)
+    out += bins.rest()
+    sequences = defaultdict(list)
+    for piece, sequence, offset in out:
+        sequences[sequence].append((offset, *piece))
+    assert min(sequences) == 7 and len(sequences) == max(sequences) - 6
+    seen = defaultdict(list)
+    for at, pieces in sequences.items():
+        assert [p[0] for p in pieces] == [sum(len(q[3]) for q in pieces[:i]) for i in range(len(pieces))]
+        total = sum(len(p[3]) for p in pieces)
+        assert total == capacity or total & (total - 1) == 0
+        for _, doc, start, ids in pieces:
+            seen[doc[0]] += ids.tolist()
+            assert ids[0] == start
+    assert all(sorted(seen[i]) == list(range(n)) for i, n in enumerate(sizes))
+    for at in {s for _, s, _ in out[:full]}:  # the first k pieces are of class k, the rest tops up
+        k = capacity // len(sequences[at][0][3])
+        assert all(capacity // len(p[3]) == k for p in sequences[at][:k])
+        assert sum(len(p[3]) for p in sequences[at][k:]) < capacity / (k + 1)
+    assert len(out) < sum(-(-n // capacity) for n in sizes) + 0.6 * len(sizes)
