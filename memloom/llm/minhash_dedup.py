@@ -265,10 +265,13 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> Da
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id, and without repeats of a doc_id; columns and their order stay."""
+    """docs without the rows whose component has a smaller doc_id, and without repeats of a doc_id; columns and their order stay.
+
+    Empty and null texts and rows with a null doc_id all stay; columns may have any names; an empty table stays empty.
+    """
     found = deduplicate(docs, percent, k)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(["`" + c.replace("`", "``") + "`" for c in docs.columns])
     again = materialize(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
     if again.limit(1).count():
         left = left.dropDuplicates(["doc_id"]) if not docs.where("doc_id IS NULL").limit(1).count() else left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))

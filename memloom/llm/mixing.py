@@ -24,6 +24,8 @@ BUCKET_ROWS = 2000
 #: Sources up to which the schedule is broadcast; beyond, Spark joins it as it likes.
 BROADCAST_SOURCES = 10_000
 SMOOTHING = 0.5
+#: Weights are whole numbers of this part of the largest one.
+WEIGHT_UNITS = 1_000_000
 
 
 def _let(value: Column, body) -> Column:
@@ -34,8 +36,9 @@ def _let(value: Column, body) -> Column:
 def integer_weights(counts: DataFrame, weights: Mapping[str | None, float] | None, total: int) -> DataFrame:
     """counts (src, n) with a positive integer weight `a`.
 
-    weights: by source, of any scale; a source that they lack gets the smallest of them. None: the
-    row counts to the power SMOOTHING, which lifts small sources.
+    weights: by source, of any scale, rounded to 1/WEIGHT_UNITS of the largest; one that would round to nothing is
+    refused. A source that they lack gets the smallest of them. None: the row counts to the power SMOOTHING, in
+    thousandths, which lifts small sources.
     """
     if weights is None:
         a = F.pow(F.col("n") / F.lit(float(max(total, 1))), F.lit(SMOOTHING))
@@ -43,9 +46,11 @@ def integer_weights(counts: DataFrame, weights: Mapping[str | None, float] | Non
     else:
         if not weights or min(weights.values()) <= 0:
             raise ValueError("weights must be positive")
+        if min(weights.values()) * WEIGHT_UNITS < max(weights.values()):
+            raise ValueError(f"a weight is under 1/{WEIGHT_UNITS} of the largest")
         items = [x for k, w in weights.items() for x in (F.lit(_encode(k)), F.lit(float(w)))]
         a = F.coalesce(F.element_at(F.create_map(*items), F.col("src")), F.lit(float(min(weights.values()))))
-        scale = 1000.0 / max(weights.values())
+        scale = float(WEIGHT_UNITS) / max(weights.values())
     return counts.withColumn("a", F.greatest(F.round(a * scale).cast("long"), F.lit(1).cast("long")))
 
 
@@ -99,12 +104,17 @@ def assign(docs: DataFrame, weights: Mapping[str | None, float] | None = None, b
 
     docs needs doc_id and source. A null source is a source of its own; null ids and repeated rows
     are numbered like others; an empty table gives no rows. keep: all other columns of docs stay, in a
-    struct `row`. Rows of a source come by the MD5 of doc_id, so a block is a fair sample of its source.
+    struct `row`. Rows of a source come by the MD5 of doc_id, so a block is a fair sample of its source. With keep, rows of
+    one doc_id come by a hash of all their columns, and rows without one are dealt to buckets by it; rows that are
+    alike in every column are alike in any order.
     """
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    row = F.xxhash64(*(q for q, f in zip(quoted, docs.schema) if "map<" not in f.dataType.simpleString())) if keep else F.lit(0).cast("long")
+    own_id = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), row.cast("string")) if keep else F.lit(""))
     own = docs.select(
-        F.col("doc_id"), F.col("source"),
+        F.col("doc_id"), F.col("source"), row.alias("alike"),
         F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("src"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []),
+        F.md5(own_id).alias("h"), *([F.struct(*quoted).alias("row")] if keep else []),
     )
     counts = own.groupBy("src").agg(F.count("*").alias("n"))
     total, n_sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -115,7 +125,7 @@ def assign(docs: DataFrame, weights: Mapping[str | None, float] | None = None, b
     sizes = own.groupBy("src", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("src", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "doc_id"))
+    within = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "alike"))
     ranked = own.withColumn("rn", within).join(offsets, ["src", "bucket"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
     slots = schedule(integer_weights(counts, weights, total), block_rows)
@@ -129,7 +139,11 @@ def assign(docs: DataFrame, weights: Mapping[str | None, float] | None = None, b
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, rows_per_file: int = 50_000) -> DataFrame:
-    """docs in the order of the mix: the same rows and columns, dealt to partitions by position and sorted there."""
+    """docs in the order of the mix: the same rows and columns, dealt to partitions by position and sorted there.
+
+    docs needs doc_id and source; null sources are a source of their own, null ids and repeated rows stay as
+    they are; an empty table stays empty. Columns may have any names.
+    """
     placed = assign(docs, weights, keep=True)
     total = docs.count()
     parts = max(1, -(-total // rows_per_file), min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // 1000)))

@@ -2,8 +2,10 @@
 
 One model describes random strings, the other ordinary identifiers. Both are trained
 on labelled samples that a seeded generator writes (SAMPLES of each label, so the fit is
-bounded and the same everywhere). A token is reported where its log-likelihood ratio,
-in nats, is over LEAST_TOTAL and its mean per character over LEAST_MEAN.
+bounded and the same everywhere). A token of 16 characters or more is reported where its log-likelihood ratio,
+in nats, is over LEAST_TOTAL and its mean per character over LEAST_MEAN. One without both a letter and a digit
+needs LEAST_TOTAL_PLAIN and LEAST_MEAN_PLAIN, twice the total if its letters are of one case, since long
+words of other languages look random to a model of English, and DISTINCT characters, since a rule of dashes does too.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,11 +25,13 @@ from memloom.llm.common import text_batches
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLES = 6000
 LEAST_TOTAL, LEAST_MEAN = 8.0, 0.2
+LEAST_TOTAL_PLAIN, LEAST_MEAN_PLAIN, DISTINCT = 20.0, 0.4, 8
 # re.ASCII: only A-Z and a-z have another case here
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # maximal runs, so the length can stand in the pattern
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_MIXED = re.compile(r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])")
 SPAN_TYPE = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 _CHARS = string.ascii_letters + string.digits + "+/_-="
@@ -88,15 +92,29 @@ class MarkovRatio:
         return float(self.table[c[:-2], c[1:-1], c[2:]].sum(dtype=np.float64))
 
     def is_secret(self, text: str, score: float) -> bool:
-        return score >= LEAST_TOTAL and score >= LEAST_MEAN * len(text)
+        if _MIXED.match(text):
+            return score >= LEAST_TOTAL and score >= LEAST_MEAN * len(text)
+        one_case = text.islower() or text[1:].islower() or text.isupper()
+        return score >= LEAST_TOTAL_PLAIN * (1 + one_case) and score >= LEAST_MEAN_PLAIN * len(text) and len(set(text)) >= DISTINCT
 
 
 def trained() -> MarkovRatio:
     return MarkovRatio(labelled_samples(SAMPLES, 20240101))
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch or overlap as one, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def find(text: str, model: MarkovRatio) -> list[tuple[str, int, int, float | None]]:
-    """(kind, start, end, score) by start, then kind. Tokens that overlap a pattern's span are left to it."""
+    """(kind, start, end, score) by start, then kind. Tokens that lie inside the patterns' spans are left to them; one that reaches beyond is scored as a whole."""
     out: list[tuple[str, int, int, float | None]] = []
     low = text.lower()
     if "passw" in low or "secret" in low or "token" in low or ("api" in low and "key" in low):
@@ -104,9 +122,14 @@ def find(text: str, model: MarkovRatio) -> list[tuple[str, int, int, float | Non
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
-    fixed = [(s, e) for _, s, e, _ in out]
-    for m in _TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e in fixed) and model.is_secret(m[0], score := model.score(m[0])):
+    fixed = _merged((s, e) for _, s, e, _ in out)
+    at = 0
+    for m in _TOKEN.finditer(text):  # tokens come in order, as do the merged spans
+        while at < len(fixed) and fixed[at][1] < m.end():
+            at += 1
+        if at < len(fixed) and fixed[at][0] <= m.start():
+            continue
+        if model.is_secret(m[0], score := model.score(m[0])):
             out.append(("markov", m.start(), m.end(), score))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -167,7 +190,8 @@ def summary(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
     return found.select(
         "doc_id",
-        *[count(k).alias(f"n_{k}") for k in KINDS],
+        *[count(k).alias(f"n_{k}") for k in KINDS if k != "markov"],
         F.sha2(_digest(F.filter("spans", lambda s: s.kind != "markov")), 256).alias("base_sha256"),
         _digest(F.col("spans")).alias("spans"),
+        count("markov").alias("n_markov"),
     )

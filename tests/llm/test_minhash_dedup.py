@@ -85,3 +85,11 @@ def test_bloom_hash_is_sparks(spark):
         assert [r[0] for r in df.select(F.xxhash64("x", F.lit(i))).collect()] == xxhash64_long_int(np.array(values), i).view(np.int64).tolist()
     b = Bloom.of(df, "x", 5)
     assert b.has(np.array(values)).all() and b.has(np.arange(10, 2010)).mean() < 0.01
+
+
+def test_keep_one_with_clashing_and_odd_names(spark):
+    text = " ".join(words(60, 1))
+    df = spark.createDataFrame([("x", 2, text, 1), ("y", 1, text, 2), ("z", None, text, 3)], "__gone string, doc_id long, text string, `a.b` int")
+    got = minhash_dedup.keep_one(df)
+    assert got.columns == df.columns and sorted(r[0] for r in got.collect()) == ["y", "z"]
+    assert minhash_dedup.keep_one(df.limit(0)).collect() == []

@@ -1,6 +1,8 @@
 from collections import Counter
 from fractions import Fraction
 
+import pytest
+
 from memloom.llm import mixing
 
 from .helpers import docs_frame
@@ -51,3 +53,13 @@ def test_mix_keeps_rows_and_columns_in_order(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
     head = [r.source for r in out.collect()[:20]]
     assert 8 <= head.count("b") <= 12
+
+
+def test_odd_column_names_small_weights_and_a_hot_null_id(spark):
+    df = spark.createDataFrame([(None, "a", i, "x") for i in range(300)] + [(1, "b", 0, "y")] * 2, "doc_id long, source string, `back``tick` int, alike string")
+    out = mixing.mix(df, {"a": 1.0, "b": 0.0001})
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    counts = spark.createDataFrame([("=a", 5), ("=b", 5)], "src string, n long")
+    assert {r.src: r.a for r in mixing.integer_weights(counts, {"a": 1.0, "b": 0.0001}, 10).collect()} == {"=a": 1_000_000, "=b": 100}
+    with pytest.raises(ValueError, match="1/1000000"):
+        mixing.integer_weights(counts, {"a": 1.0, "b": 1e-8}, 10)
