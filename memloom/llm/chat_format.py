@@ -93,15 +93,35 @@ def format_events(events: DataFrame, learn: str = "assistant") -> DataFrame:
 
 
 def table_events(conversations: DataFrame) -> DataFrame:
-    """The table's rows as an event log: one `message` event a row, turns by `turn`.
+    """The table's rows as the event log of a chat service, whose fold gives the table back; events of a row come in no order.
 
-    Repeated rows of one turn are turns of their own, so each row's place among its repeats is part of `message`.
+    By a hash of the row it was sent whole; streamed in deltas; drafted otherwise and edited; or streamed wrongly and
+    regenerated. Repeated rows of one turn are turns of their own, so each row's place among its repeats is part of
+    `message`; a null turn comes first, a null text is empty; an empty table gives no events.
     """
-    return conversations.repartition("conv_id").select(
-        "conv_id",
-        F.struct("turn", "role", "text", F.row_number().over(Window.partitionBy("conv_id", "turn", "role", "text").orderBy(F.lit(0))).alias("again")).alias("message"),
-        F.col("turn").alias("seq"), "role", F.lit("message").alias("kind"), "text",
+    again = F.row_number().over(Window.partitionBy("conv_id", "turn", "role", "text").orderBy(F.lit(0)))
+    rows = conversations.repartition("conv_id").select(
+        "conv_id", F.struct("turn", "role", "text", again.alias("again")).alias("message"), "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        (F.pmod(F.coalesce(F.col("turn").cast("long"), F.lit(0)), F.lit(1 << 40)) * 8).alias("first"), F.pmod(F.xxhash64("turn", "role", "text"), F.lit(4)).alias("how"),
+    )
+    third = F.floor(F.length("text") / 3).cast("int")
+    parts = [F.substr("text", F.lit(1), third), F.substr("text", third + 1, third), F.substr("text", 2 * third + 1)]
+    wrong = F.concat(F.lit("draft "), F.reverse("text"))
+
+    def event(step: int, kind: str, text: Column, role: Column) -> Column:
+        return F.struct((F.col("first") + step).alias("seq"), role.alias("role"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    own, other, none = F.col("role").cast("string"), F.lit("draft"), F.lit(None).cast("string")
+    log = (
+        F.when(F.col("how") == 0, F.array(event(0, "message", F.col("text"), own)))
+        .when(F.col("how") == 1, F.array(event(2, "delta", parts[2], none), event(0, "message", parts[0], own), event(1, "delta", parts[1], none)))
+        .when(F.col("how") == 2, F.array(event(1, "edit", F.col("text"), own), event(0, "message", wrong, other)))
+        .otherwise(F.array(
+            event(4, "delta", F.concat(parts[1], parts[2]), none), event(1, "delta", wrong, none), event(3, "delta", parts[0], none),
+            event(2, "regenerate", F.lit(""), own), event(0, "message", F.lit(""), other),
+        ))
     )
+    return rows.select("conv_id", "message", F.explode(log).alias("e")).select("conv_id", "message", "e.*")
 
 
 def summary(formatted: DataFrame) -> DataFrame:

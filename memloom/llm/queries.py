@@ -143,21 +143,28 @@ u AS (
       lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid|ref)(=|$)'))), '&') AS query
   FROM p),
 k AS (
-  SELECT page_id, tag, sha, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url,
-    page_id + CASE WHEN page_id % 11 = 5 THEN -1000000000 ELSE 1000000000 END AS again
+  SELECT page_id, tag, sha, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url
   FROM u),
 c AS (
-  SELECT page_id * 2 AS record_id, canonical_url, page_id AS "at", 'response' AS kind, tag AS etag, sha AS digest FROM k
-  UNION ALL SELECT page_id * 2 + 1, canonical_url, again, 'revisit', CASE WHEN page_id % 7 = 3 THEN 'x' || tag ELSE tag END, NULL FROM k),
+  SELECT page_id * 8 + j AS record_id, canonical_url, page_id + j * 1000000000 AS "at", 'response' AS kind, j, CASE WHEN page_id % 5 <> 2 THEN tag || ':' || j END AS etag,
+    CASE WHEN page_id % 6 <> 1 THEN 'day ' || j END AS last_modified, sha || ':' || j AS digest, CASE WHEN page_id % 2 = 0 THEN 'cache-control: no-store' || chr(10) ELSE '' END AS cache
+  FROM k, range(2) AS t(j)
+  UNION ALL
+  SELECT page_id * 8 + 4 + i, canonical_url, page_id + i * 1000000000 - 500000000, 'revisit', i,
+    CASE WHEN page_id % 5 = 2 THEN NULL WHEN page_id % 7 = 3 THEN 'x' || tag WHEN page_id % 4 = 1 THEN tag || ':' || (i - 2) ELSE tag || ':' || (i - 1) END,
+    CASE WHEN page_id % 6 <> 1 THEN 'day ' || CASE WHEN (page_id + i) % 3 = 0 THEN i - 2 ELSE i - 1 END END, NULL, 'cache-control: max-age=' || i || chr(10)
+  FROM k, range(3) AS t(i)),
 r AS (
-  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'digest': digest} END IGNORE NULLS)
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'last_modified': last_modified, 'digest': digest} END IGNORE NULLS)
     OVER (PARTITION BY canonical_url ORDER BY "at", record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c),
 s AS (
-  SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN prior IS NULL OR canonical_url IS NULL THEN 'orphan' WHEN prior.etag = etag THEN 'resolved' ELSE 'mismatch' END AS status FROM r)
-SELECT record_id, canonical_url, kind, status, CASE WHEN status = 'resolved' THEN prior.id END AS refers_to,
-  CASE status WHEN 'response' THEN digest WHEN 'resolved' THEN prior.digest END AS digest,
-  CASE WHEN status IN ('response', 'resolved') THEN 'content-type: text/html' || chr(10) || 'date: ' || "at" END AS headers
-FROM s""",
+  SELECT *, coalesce(prior.etag = etag, prior.last_modified = last_modified) AS same FROM r),
+t AS (
+  SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN prior IS NULL OR canonical_url IS NULL THEN 'orphan' WHEN same IS NULL THEN 'unverified' WHEN same THEN 'resolved' ELSE 'mismatch' END AS status FROM s)
+SELECT record_id, canonical_url, kind, status, CASE WHEN status IN ('resolved', 'unverified') THEN prior.id END AS refers_to,
+  CASE WHEN status = 'response' THEN digest WHEN status IN ('resolved', 'unverified') THEN prior.digest END AS digest,
+  CASE WHEN status IN ('response', 'resolved', 'unverified') THEN cache || 'content-type: text/html' || chr(10) || 'date: ' || "at" END AS headers
+FROM t""",
     "op1_pfair_mixing": r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 b AS (SELECT greatest(1, CAST(ceil(count(*) / 2048) AS BIGINT)) AS rows, count(*) AS total FROM d),

@@ -6,16 +6,20 @@ headers (map), digest (of the payload). A revisit takes the payload of the last
 compared), else Last-Modified where both have one.
 
 The join is a window over a URL and a slice of time, and what was last in earlier slices is carried
-over on one row a URL and slice, so a URL with a third of all captures is still many groups.
+over on one row a URL and slice. Slices hold about equally many captures, whatever their times, so a URL
+with a third of all captures is still many groups.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Captures in a slice of time, about, if they are evenly spread.
-SLICE_ROWS = 50_000
+from memloom.llm.common import materialize
+
+#: Captures in a slice of time, about, and the most slices: their bounds are a list on the driver.
+SLICE_ROWS, SLICES = 50_000, 4096
 #: Headers that a not-modified answer may renew (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't tell pages apart.
@@ -46,6 +50,16 @@ def merged(full: Column, renewed: Column) -> Column:
     return F.map_concat(F.map_filter(full, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
 
 
+def slice_bounds(captures: DataFrame, slice_rows: int) -> list[float]:
+    """Times that part the captures into about equal slices: approximate quantiles, at most SLICES - 1."""
+    n = captures.count()
+    slices = min(SLICES, -(-n // slice_rows))
+    if slices < 2:
+        return []
+    shares = [i / slices for i in range(1, slices)]
+    return sorted({float(x) for x in captures.agg(F.percentile_approx("at", shares, 10 * slices)).first()[0] or []})
+
+
 def resolve(captures: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per capture: record_id, canonical_url, kind, status, refers_to, digest, headers.
 
@@ -58,10 +72,15 @@ def resolve(captures: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("canonical_url"), F.col("at").cast("long").alias("at"),
         F.when(F.col("kind") == "response", "response").otherwise("revisit").alias("kind"), "etag", "last_modified", lower_names(F.col("headers")).alias("headers"), "digest",
     )
-    low, high, n = c.agg(F.min("at"), F.max("at"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // max(1, -(-n // slice_rows)))
+    c = materialize(c, "captures")
     full = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "headers", "digest"))
-    placed = c.where("canonical_url IS NOT NULL AND at IS NOT NULL").withColumn("slice", F.floor((F.col("at") - F.lit(low or 0)) / F.lit(width)).cast("long")).withColumn("full", full)
+    placed = c.where("canonical_url IS NOT NULL AND at IS NOT NULL").withColumn("full", full)
+    bounds = slice_bounds(placed, slice_rows)
+    if bounds:  # equal times are equal as doubles too, so slices follow the times
+        cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="slice_at", outputCol="slice")
+        placed = cut.transform(placed.withColumn("slice_at", F.col("at").cast("double"))).drop("slice_at")
+    else:
+        placed = placed.withColumn("slice", F.lit(0.0))
     group = Window.partitionBy("canonical_url", "slice").orderBy("at", "record_id")
     inside = placed.withColumn("inside", F.last("full", ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1)))
     ends = placed.where("kind = 'response'").groupBy("canonical_url", "slice").agg(F.max_by("full", F.struct("at", "record_id")).alias("end"))
@@ -92,23 +111,36 @@ def resolve(captures: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
 
 
 def table_captures(pages: DataFrame) -> DataFrame:
-    """A crawl and a re-crawl of the pages: every page answers in full at its page_id, and as not modified a thousand million later.
+    """Two full crawls of the pages and three rounds of revisits, one before each crawl and one after the last.
 
-    Of the re-crawl, page_id % 7 = 3 has another entity tag, and page_id % 11 = 5 comes before all others.
+    Revisits carry the entity tag and date of the crawl before; some have none, a foreign tag, or those of the crawl before that one.
     """
-    tag = F.md5(F.coalesce("html", F.lit("")))
     digest = F.sha2(F.coalesce("html", F.lit("")), 256)
-    known = pages.select("page_id", "url", tag.alias("tag"), digest.alias("sha"))
-    first = known.select(
-        (F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("at"), F.lit("response").alias("kind"), F.col("tag").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.col("page_id").cast("string")).alias("headers"), F.col("sha").alias("digest"),
-    )
-    at = F.col("page_id") + F.when(F.col("page_id") % 11 == 5, -1_000_000_000).otherwise(1_000_000_000)
-    again = known.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "url", at.alias("at"), F.lit("revisit").alias("kind"), F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("x"), "tag")).otherwise(F.concat(F.lit("W/"), "tag")).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("Date"), at.cast("string"), F.lit("Set-Cookie"), F.lit("a=1")).alias("headers"), F.lit(None).cast("string").alias("digest"),
-    )
-    return first.unionByName(again)
+    known = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("tag"), digest.alias("sha"))
+    p, none = F.col("page_id"), F.lit(None).cast("string")
+    no_tag, no_date = p % 5 == 2, p % 6 == 1
+
+    def response(j: int) -> Column:
+        at = p + j * 1_000_000_000
+        names = [F.lit("CONTENT-TYPE"), F.lit("x"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), at.cast("string")]
+        headers = F.when(p % 2 == 0, F.create_map(*names, F.lit("Cache-Control"), F.lit("no-store"))).otherwise(F.create_map(*names))
+        return F.struct(
+            (p * 8 + j).alias("record_id"), at.alias("at"), F.lit("response").alias("kind"), F.when(~no_tag, F.concat("tag", F.lit(f":{j}"))).alias("etag"),
+            F.when(~no_date, F.lit(f"day {j}")).alias("last_modified"), headers.alias("headers"), F.concat("sha", F.lit(f":{j}")).alias("digest"),
+        )
+
+    def revisit(i: int) -> Column:
+        at = p + (i * 1_000_000_000 - 500_000_000)
+        tag = F.when(p % 7 == 3, F.concat(F.lit("x"), "tag")).when(p % 4 == 1, F.concat("tag", F.lit(f":{i - 2}"))).otherwise(F.concat(F.lit("W/"), "tag", F.lit(f":{i - 1}")))
+        date = F.when((p + i) % 3 == 0, F.lit(f"day {i - 2}")).otherwise(F.lit(f"day {i - 1}"))
+        headers = F.create_map(F.lit("Date"), at.cast("string"), F.lit("Set-Cookie"), F.lit("a=1"), F.lit("CACHE-control"), F.lit(f"max-age={i}"))
+        return F.struct(
+            (p * 8 + 4 + i).alias("record_id"), at.alias("at"), F.lit("revisit").alias("kind"), F.when(~no_tag, tag).alias("etag"),
+            F.when(~no_date, date).alias("last_modified"), headers.alias("headers"), none.alias("digest"),
+        )
+
+    captures = F.array(*map(response, range(2)), *map(revisit, range(3)))
+    return known.select("url", F.explode(captures).alias("c")).select("url", "c.*")
 
 
 def summary(resolved: DataFrame) -> DataFrame:

@@ -38,3 +38,13 @@ def test_events_fold_deltas_edits_and_regenerations(spark):
     (one,) = chat_format.format_events(df.where("conv_id = 1")).collect()
     (s,) = one.loss_spans
     assert one.formatted[s.start : s.end] == "newer"
+
+
+def test_the_tables_log_holds_every_kind_of_event_and_folds_back(spark):
+    rows = [(c, t, r, f"text {c} {t} é🎉" * (t % 3)) for c in range(20) for t, r in enumerate(["user", "assistant", "tool"])] + [(None, None, None, None), (3, 9, "user", "x" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_format.table_events(df).cache()
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert log.count() > 1.5 * len(rows)
+    got = chat_format.messages(log).select("conv_id", "message.turn", "role", "text")
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(c, t, r or "", x or "") for c, t, r, x in rows], df.schema).collect()))
