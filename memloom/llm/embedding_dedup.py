@@ -4,12 +4,13 @@ A bounded sample of vectors serves as pivots. Each vector is described by its DE
 similar pivots in order; inverted lists hold, per label and pivot, the vectors that have it
 there. Vectors that share SHARED pivots or more are candidates, and a candidate pair is
 verified by its cosine in double precision, in the list of its smallest shared pivot.
-Equal vectors of a label are one entry with a count. Every vector is indexed; the pivots
+Equal vectors of a label are one entry with a count. Every vector is indexed: the OWN_LENGTHS commonest
+vector lengths have pivots of their own, all others share pivots that are cut to their length. The pivots
 alone come from a sample: PIVOTS_MOST at most, and at most PIVOT_FLOATS numbers, no two of
 them nearer than APART, so that a large group of near copies holds a few pivots and not its
 share of them. Its members then have the same few pivots, and all their pairs are compared.
 
-Lists are dealt out in blocks of BLOCK entries, and block pairs are compared as matrices, so
+Lists of one entry go before vectors are moved. Lists are dealt out in blocks of BLOCK entries, and block pairs are compared as matrices, so
 neither a list nor its pairs meet in one row or task; links leave a block pair as counts and
 as one star per component of the pair.
 """
@@ -29,6 +30,7 @@ COSINE, DEPTH, SHARED = 0.98, 8, 2
 PIVOTS_LEAST, PIVOTS_MOST, PIVOT_FLOATS = 32, 16_384, 1 << 23
 #: No two pivots have this cosine or more.
 APART = 0.9
+OWN_LENGTHS = 64
 BLOCK = 1024
 
 
@@ -62,20 +64,26 @@ def thin(rows: np.ndarray, most: int) -> np.ndarray:
 
 
 def sample_pivots(classes: DataFrame, n: int, dim: int) -> np.ndarray:
-    """At most about 2 * sqrt(n) vectors, the first by a hash of their ids that are APART, of four times as many."""
-    bound = min(PIVOTS_MOST, PIVOT_FLOATS // max(dim, 1))
+    """At most about 2 * sqrt(n) vectors, the first by a hash of their ids that are APART, of four times as many; shorter ones are padded with zeros to dim."""
+    bound = max(1, min(PIVOTS_MOST, PIVOT_FLOATS // max(dim, 1)))
     most = int(min(bound, max(PIVOTS_LEAST, 2 * n**0.5)))
-    rows = classes.where(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(min(bound, 4 * most)).select("v").collect()
-    return thin(unit([r.v for r in rows]), most)
+    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(bound, 4 * most)).select("v").toPandas()["v"]
+    return thin(unit([np.pad(np.asarray(v, np.float64), (0, dim - len(v))) for v in rows]), most)
+
+
+def _floats(classes: DataFrame) -> type:
+    return np.float32 if classes.schema["v"].dataType.elementType.typeName() == "float" else np.float64
 
 
 def _postings(classes: DataFrame, pivots: dict[int, np.ndarray], depth: int) -> DataFrame:
+    """pivots: by length; under 0 those of all other lengths."""
     held = classes.sparkSession.sparkContext.broadcast(pivots)
+    kind_of_float = _floats(classes)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for dim, part in b.groupby(b["v"].map(len)):
-                p = held.value[dim]
+                p = held.value[dim] if dim in held.value else held.value[0][:, :dim]
                 for at in range(0, len(part), 2048):
                     rows = part.iloc[at : at + 2048]
                     near = unit(rows["v"].tolist()) @ p.T
@@ -84,19 +92,19 @@ def _postings(classes: DataFrame, pivots: dict[int, np.ndarray], depth: int) ->
                     yield pd.DataFrame({
                         "label": np.repeat(rows["label"].to_numpy(), k), "dim": dim, "pivot": top.ravel(), "rep": np.repeat(rows["rep"].to_numpy(np.int64), k),
                         "copies": np.repeat(rows["copies"].to_numpy(np.int64), k), "perm": np.repeat(np.array([r.tobytes() for r in top], object), k),
-                        "vec": np.repeat(np.array([np.asarray(v, np.float64).tobytes() for v in rows["v"]], object), k),
+                        "vec": np.repeat(np.array([np.asarray(v, kind_of_float).tobytes() for v in rows["v"]], object), k),
                     })
 
     kind = classes.schema["label"].dataType.simpleString()
     return classes.mapInPandas(work, f"label {kind}, dim int, pivot int, rep long, copies long, perm binary, vec binary")
 
 
-def _compare(cosine: float, shared: int):
+def _compare(cosine: float, shared: int, kind_of_float: type):
     def work(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         pivot, left, right = key[2], key[3], key[4]
         f = f.sort_values("rep")
         perm = np.frombuffer(b"".join(f["perm"]), np.int32).reshape(len(f), -1)
-        vec = unit(list(np.frombuffer(b"".join(f["vec"]), np.float64).reshape(len(f), -1)))
+        vec = unit(list(np.frombuffer(b"".join(f["vec"]), kind_of_float).reshape(len(f), -1)))
         local, code = np.unique(perm, return_inverse=True)
         has = np.zeros((len(f), len(local)), np.float32)
         np.put_along_axis(has, code.reshape(perm.shape), 1, axis=1)
@@ -123,11 +131,16 @@ def _compare(cosine: float, shared: int):
 
 def link_classes(classes: DataFrame, cosine: float = COSINE, depth: int = DEPTH, shared: int = SHARED) -> DataFrame:
     """(rep, n, root) per block pair: how many vectors a class is linked to there, and a member of the same component."""
-    dims = [(r.dim, r.n) for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()]
-    pivots = {d: sample_pivots(classes, n, d) for d, n in dims}
-    postings = _postings(classes.where(F.size("v").isin(list(pivots))), pivots, depth) if pivots else _postings(classes.limit(0), {}, depth)
+    size = F.size("v")
+    dims = [(r.dim, r.n) for r in classes.groupBy(size.alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(OWN_LENGTHS).collect()]
+    pivots = {d: sample_pivots(classes.where(size == d), n, d) for d, n in dims}
+    others = classes.where(~size.isin([d for d, _ in dims]))
+    n, longest = others.agg(F.count("*"), F.max(size)).first() if len(dims) == OWN_LENGTHS else (0, None)
+    if n:
+        pivots[0] = sample_pivots(others, n, longest)
+    postings = _postings(classes, pivots, depth)
     lists = ["label", "dim", "pivot"]
-    sizes = postings.groupBy(*lists).agg(F.count("*").alias("n")).select(*lists, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = postings.groupBy(*lists).agg(F.count("*").alias("n")).where("n > 1").select(*lists, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = (
         postings.join(sizes, lists)
@@ -136,14 +149,14 @@ def link_classes(classes: DataFrame, cosine: float = COSINE, depth: int = DEPTH,
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
     )
-    return dealt.groupBy(*lists, "low", "high").applyInPandas(_compare(cosine, shared), "rep long, n long, root long")
+    return dealt.groupBy(*lists, "low", "high").applyInPandas(_compare(cosine, shared, _floats(classes)), "rep long, n long, root long")
 
 
 def deduplicate(vectors: DataFrame, cosine: float = COSINE, depth: int = DEPTH, shared: int = SHARED) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     vectors needs vec_id, embedding, label; other columns are ignored. Vectors with a null id or label, or that are
-    not `usable`, link with nothing; only vectors of one length link (of at most 64 lengths, the commonest).
+    not `usable`, link with nothing; only vectors of one length link.
     Rows of one vec_id count as vectors of their own but share a component. An empty table gives no rows.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), "label")

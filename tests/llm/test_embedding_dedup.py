@@ -55,3 +55,17 @@ def test_recall_with_a_third_of_the_rows_in_one_group_of_near_copies(spark):
 def test_empty(spark):
     assert embedding_dedup.deduplicate(frame(spark, [(1, [1.0], 1)]).limit(0)).collect() == []
     assert [tuple(r) for r in embedding_dedup.deduplicate(frame(spark, [(1, None, 1), (2, None, None)])).orderBy("vec_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_every_vector_length_is_indexed(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for dim in range(1, 100):
+        base = r.normal(size=(3, dim))
+        rows += [(1000 * dim + i, [float(np.float32(x)) for x in base[i % 3] + r.normal(size=dim) * 0.03], 1) for i in range(3 if dim % 2 else 9)]
+    want_n, want_c = brute(rows)
+    got = {x.vec_id: x for x in embedding_dedup.deduplicate(frame(spark, rows)).collect()}
+    rare = [i for i in want_n if (i // 1000) % 2]  # lengths with few vectors, most of them not among the commonest
+    for ids in (list(want_n), rare):
+        assert sum(got[i].n_links for i in ids) >= 0.98 * sum(want_n[i] for i in ids)
+    assert all(got[i].n_links <= want_n[i] for i in want_n)
