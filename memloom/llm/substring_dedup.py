@@ -13,6 +13,7 @@ few words:
    that its first copy doesn't have.
 
 The removed spans of a document overlap into maximal repeats of WINDOW words or more.
+An anchor that a sample of the documents shows to be frequent is dealt to SALTS tasks by segment.
 Bloom filters of bounded size only thin out what is joined; joins decide. Keys of joins
 are 128 bits.
 """
@@ -30,6 +31,9 @@ from pyspark.sql import functions as F
 from memloom.llm.common import Bloom, hash_words, materialize, mix64, text_batches, text_slices, window_hashes
 
 WINDOW, ANCHOR = 13, 5
+#: An anchor of more than HOT_SHARE of about HOT_SAMPLE sampled documents is hot: its rows go to SALTS tasks. At most HOT_MOST are, the commonest.
+#: Only how rows are dealt to tasks depends on the sample; results don't.
+HOT_SAMPLE, HOT_SHARE, HOT_MOST, SALTS = 10_000, 0.002, 4096, 64
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _U = np.uint64
 
@@ -74,8 +78,24 @@ def _pair_key(seg: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix64(seg.view(np.uint64) ^ mix64(doc.view(np.uint64))).view(np.int64)
 
 
+def hot_anchors(docs: DataFrame) -> np.ndarray:
+    n = docs.count()
+    sample = docs.sample(min(1.0, HOT_SAMPLE / max(n, 1)), seed=13)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, s in _batches(batches):
+            pairs = np.unique(np.stack((s["anchor"], s["doc"])), axis=1)
+            anchor, docs_of = np.unique(pairs[0], return_counts=True)
+            yield pd.DataFrame({"anchor": anchor[docs_of > 1], "n": docs_of[docs_of > 1]})
+
+    counts = sample.select("doc_id", "text").mapInPandas(work, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    least = max(2.0, HOT_SHARE * min(n, HOT_SAMPLE))
+    return np.sort(np.array([r.anchor for r in counts.where(F.col("n") > least).orderBy(F.desc("n"), "anchor").limit(HOT_MOST).collect()], np.int64))
+
+
 def repeated_segments(docs: DataFrame) -> DataFrame:
-    """(anchor, seg, lo, shared, several): segments of several documents, and those whose anchor has several segments."""
+    """(anchor, seg, lo, shared, several): segments of several documents, and those whose anchor has several segments, or is hot."""
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, s in _batches(batches):
@@ -83,13 +103,15 @@ def repeated_segments(docs: DataFrame) -> DataFrame:
             order = np.lexsort((doc, s["seg"]))
             seg, doc = s["seg"][order], doc[order]
             head = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])[: len(seg)])
-            yield pd.DataFrame({"anchor": s["anchor"][order][head], "seg": seg[head], "lo": doc[head], "hi": doc[np.append(head[1:], len(seg))[: len(head)] - 1]})
+            anchor = s["anchor"][order][head]
+            salt = np.where(np.isin(anchor, hot.value), 1 + seg[head] % SALTS, 0).astype(np.int32)
+            yield pd.DataFrame({"anchor": anchor, "salt": salt, "seg": seg[head], "lo": doc[head], "hi": doc[np.append(head[1:], len(seg))[: len(head)] - 1]})
 
-    rows = docs.select("doc_id", "text").mapInPandas(work, "anchor long, seg long, lo long, hi long")
-    each = rows.repartition("anchor").groupBy("anchor", "seg").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    several = F.count("*").over(Window.partitionBy("anchor")) > 1
+    rows = docs.select("doc_id", "text").mapInPandas(work, "anchor long, salt int, seg long, lo long, hi long")
+    each = rows.repartition("anchor", "salt").groupBy("anchor", "salt", "seg").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    several = (F.count("*").over(Window.partitionBy("anchor", "salt")) > 1) | (F.col("salt") > 0)
     shared = F.col("lo") < F.col("hi")
-    return each.withColumn("several", several).withColumn("shared", shared).where("several OR shared").drop("hi")
+    return each.withColumn("several", several).withColumn("shared", shared).where("several OR shared").drop("hi", "salt")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:

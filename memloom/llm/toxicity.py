@@ -2,10 +2,11 @@
 
 A ridge-penalised logistic regression over the distinct words of a text and their first 4 and 5
 letters. In the labelled texts' sentences, identity terms are swapped for others of their group; the squared change
-of the score's logit, weighed by how often a swap occurs, is added to the loss, so a neutral mention
-of a group doesn't move the score. It is fitted on the driver from a bounded sample of labelled
-rows: at most SAMPLE_TOXIC and SAMPLE_OTHER, the first by a hash of doc_id. Only rows whose
-crc32(doc_id) mod 3 is not 1 are learnt from. Inputs of a score are the text's words alone.
+of the score's logit, weighed by the sentences in which a swap can be made, is added to the loss, so a neutral mention
+of a group doesn't move the score. It is fitted on a bounded sample of labelled rows: at most SAMPLE_TOXIC and
+SAMPLE_OTHER, the first by a hash of doc_id. Their features are counted and chosen on the executors; the driver
+gets FEATURES bits a row. Only rows whose crc32(doc_id) mod 3 is not 1 are learnt from. Inputs of a score are the
+text's words alone.
 """
 
 import re
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import text_batches
+from memloom.llm.common import materialize, text_batches
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
 FEATURES, LEAST_DOCS, RIDGE, SWAP = 512, 3, 0.1, 1.0
@@ -87,29 +88,20 @@ class Model:
         return score
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[str, str, int]]) -> Model:
-    """Newton's method on log loss + ridge + counterfactual penalty; features: distinct feature ids per text."""
-    y = np.asarray(labels, np.float64)
-    n_pos, n = float(y.sum()), len(y)
-    bias = float(np.log((n_pos + 0.5) / (n - n_pos + 0.5)))
-    if not n or not 0 < n_pos < n:
-        return Model({}, bias)
-    doc = np.repeat(np.arange(n), [len(f) for f in features])
-    ids, code = np.unique(np.concatenate(features), return_inverse=True)
-    total, pos = np.bincount(code, minlength=len(ids)), np.bincount(code, weights=y[doc], minlength=len(ids))
+def strength(total: np.ndarray, pos: np.ndarray, n: int, n_pos: int) -> np.ndarray:
+    """How far a feature's shares among the toxic and the other texts lie apart, in standard errors; 0 for rare ones and those of all texts."""
     p, q, rate = pos / n_pos, (total - pos) / (n - n_pos), total / n
     z = np.abs(p - q) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n_pos + 1 / (n - n_pos)))
-    z[(total < LEAST_DOCS) | (total == n)] = 0
-    chosen = np.lexsort((ids, -z))[:FEATURES]
-    chosen = np.sort(chosen[z[chosen] > 0])
-    column = np.full(len(ids), -1)
-    column[chosen] = np.arange(len(chosen))
-    at = column[code] >= 0
-    x = np.zeros((n, len(chosen) + 1), np.float32)
-    x[doc[at], column[code[at]]] = 1
-    x[:, -1] = 1
+    return np.where((total < LEAST_DOCS) | (total == n), 0.0, z)
+
+
+def solve(x: np.ndarray, y: np.ndarray, chosen: np.ndarray, swaps: list[tuple[str, str, int]]) -> Model:
+    """Newton's method on log loss + ridge + counterfactual penalty; x: a row a text, a column of 0 and 1 for each feature of `chosen`."""
+    n, n_pos = len(y), float(y.sum())
+    bias = float(np.log((n_pos + 0.5) / (n - n_pos + 0.5)))
+    x = np.concatenate((x, np.ones((n, 1))), axis=1).astype(np.float32)
     swap = np.zeros((len(chosen) + 1, len(chosen) + 1))
-    place = {int(ids[c]): i for i, c in enumerate(chosen)}
+    place = {int(f): i for i, f in enumerate(chosen)}
     for a, b, count in swaps:
         d = np.zeros(len(chosen) + 1)
         for f in features_of(a) ^ features_of(b):
@@ -129,40 +121,83 @@ def train(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[str,
         w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-4:
             break
-    return Model({int(ids[c]): float(v) for c, v in zip(chosen, w)}, float(w[-1]))
+    return Model({int(c): float(v) for c, v in zip(chosen, w)}, float(w[-1]))
+
+
+def prior(n: int, n_pos: int) -> Model:
+    """Without labels of both kinds: every text scores by their counts."""
+    return Model({}, float(np.log((n_pos + 0.5) / (n - n_pos + 0.5))))
+
+
+def train(features: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[str, str, int]]) -> Model:
+    """The model of texts in memory; features: distinct feature ids per text."""
+    y = np.asarray(labels, np.float64)
+    n, n_pos = len(y), int(y.sum())
+    if not 0 < n_pos < n:
+        return prior(n, n_pos)
+    ids, code = np.unique(np.concatenate(features), return_inverse=True)
+    doc = np.repeat(np.arange(n), [len(f) for f in features])
+    z = strength(np.bincount(code, minlength=len(ids)), np.bincount(code, weights=y[doc], minlength=len(ids)), n, n_pos)
+    best = np.lexsort((ids, -z))[:FEATURES]
+    chosen = np.sort(ids[best[z[best] > 0]])
+    return solve(np.array([np.isin(chosen, f) for f in features]).reshape(n, len(chosen)), y, chosen, swaps)
+
+
+def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id, toxic, distinct features, and the swaps that can be made, once a sentence."""
+    for b in batches:
+        out = []
+        for doc_id, text, toxic in zip(b["doc_id"], b["text"], b["toxic"]):
+            words = words_of(text or "")
+            found: set[int] = set().union(*map(features_of, words)) if words else set()
+            swaps: list[str] = []
+            if not words.isdisjoint(_GROUP):
+                for sentence in _SENTENCE.split(text.lower()):
+                    for w in sorted(set(_WORD.findall(sentence)) & _GROUP.keys()):
+                        swaps += [f"{w} {other}" for other in _GROUP[w] if other != w]
+            out.append((doc_id, toxic, np.array(sorted(found), np.uint32).tobytes(), swaps))
+        yield pd.DataFrame(out, columns=["doc_id", "toxic", "found", "swaps"])
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        parts = [np.frombuffer(f, np.uint32) for f in b["found"]]
+        ids, code = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint32), return_inverse=True)
+        toxic = np.repeat(b["toxic"].to_numpy(np.float64), [len(x) for x in parts])
+        pos = np.bincount(code, weights=toxic, minlength=len(ids)).astype(np.int64)
+        yield pd.DataFrame({"feature": ids.astype(np.int64), "total": np.bincount(code, minlength=len(ids)), "pos": pos})
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """labels: doc_id, toxic (0 or 1; null: not a label; of several, the largest)."""
+    """labels: doc_id, toxic (0 or 1; null: not a label; of several, the largest). docs: doc_id, text.
+
+    A null text is empty; of rows of one doc_id the smallest text counts; a label without a document, or with a null
+    doc_id, teaches nothing; without labels of both kinds every text scores alike.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_OTHER))
     rows = text_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # SAMPLE_TOXIC + SAMPLE_OTHER ids at most
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    seen = materialize(once.mapInPandas(_found, "doc_id long, toxic int, found binary, swaps array<string>"), "features")
+    n, n_pos = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < n_pos < n:
+        return prior(n, n_pos)
+    counts = seen.select("found", "toxic").mapInPandas(_counted, "feature long, total long, pos long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("pos").alias("pos"))
+    z = F.pandas_udf(lambda total, pos: pd.Series(strength(total.to_numpy(np.float64), pos.to_numpy(np.float64), n, n_pos)), "double")
+    best = counts.where(F.col("total") >= LEAST_DOCS).select("feature", z("total", "pos").alias("z")).where("z > 0").orderBy(F.desc("z"), "feature").limit(FEATURES)
+    chosen = np.sort(np.array([r.feature for r in best.collect()], np.uint32))
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc_id, text, toxic in zip(b["doc_id"], b["text"], b["toxic"]):
-                words = words_of(text or "")
-                found: set[int] = set().union(*map(features_of, words)) if words else set()
-                swaps = []
-                if not words.isdisjoint(_GROUP):
-                    for sentence in _SENTENCE.split(text.lower()):
-                        for w in _WORD.findall(sentence):
-                            group = _GROUP.get(w)
-                            if group:
-                                i = group.index(w)
-                                swaps += [f"{w} {group[(i + k) % len(group)]}" for k in range(1, len(group))]
-                out.append((doc_id, toxic, np.array(sorted(found), np.uint32).tobytes(), sorted(set(swaps))))
-            yield pd.DataFrame(out, columns=["doc_id", "toxic", "found", "swaps"])
-
-    got = rows.mapInPandas(work, "doc_id long, toxic int, found binary, swaps array<string>").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
-    counts: dict[str, int] = {}
-    for s in got["swaps"]:
-        for pair in s:
-            counts[pair] = counts.get(pair, 0) + 1
-    return train([np.frombuffer(f, np.uint32) for f in got["found"]], got["toxic"].to_numpy(), [(*pair.split(), n) for pair, n in sorted(counts.items())])
+            rows = [np.packbits(np.isin(chosen, np.frombuffer(f, np.uint32))).tobytes() for f in b["found"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "bits": rows})
+
+    got = seen.select("doc_id", "toxic", "found").mapInPandas(bits, "doc_id long, toxic int, bits binary").toPandas().sort_values("doc_id")
+    swaps = seen.select(F.explode("swaps").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).orderBy("pair").collect()  # pairs of one identity group
+    size = -(-len(chosen) // 8)
+    x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), size), axis=1)[:, : len(chosen)]
+    return solve(x, got["toxic"].to_numpy(np.float64), chosen, [(*r.pair.split(), r.n) for r in swaps])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +215,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that are predicted toxic; columns and order of columns stay."""
+    """docs without the rows that are predicted toxic; columns and order of columns stay.
+
+    A null or empty text scores by the bias alone, so it stays unless most labels are toxic; rows without a doc_id and
+    repeated rows are judged one by one; an empty table stays empty.
+    """
     held = text_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
