@@ -7,41 +7,13 @@ can read, so a lost executor never takes a stage's result with it.
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def stage_dir(spark: SparkSession) -> str:
-    """The shared folder for stage tables: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_by_cluster:
-        return set_by_cluster
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="memloom-stage-")
-    return _OWN_DIR[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back.
-
-    The folder is deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{stage_dir(spark).rstrip('/')}/memloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
+from memloom.stage import materialize, stage_dir  # noqa: F401  (operators take them from here)
 
 #: Rows of an Arrow batch of whole texts. A batch is held a few times over, on both sides of the pipe to Python.
 TEXT_ROWS = 1000
