@@ -12,7 +12,6 @@ with a third of all captures is still many groups.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +75,10 @@ def resolve(captures: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     full = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "headers", "digest"))
     placed = c.where("canonical_url IS NOT NULL AND at IS NOT NULL").withColumn("full", full)
     bounds = slice_bounds(placed, slice_rows)
-    if bounds:  # equal times are equal as doubles too, so slices follow the times
+    if bounds:
+        from pyspark.ml.feature import Bucketizer  # here, since it is large
+
+        # equal times are equal as doubles too, so slices follow the times
         cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="slice_at", outputCol="slice")
         placed = cut.transform(placed.withColumn("slice_at", F.col("at").cast("double"))).drop("slice_at")
     else:
