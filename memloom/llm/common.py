@@ -148,10 +148,10 @@ class Bloom:
             df.select(at.alias("bit"))
             .groupBy(F.shiftright("bit", 6).alias("word"))
             .agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("bits"))
-            .toPandas()
+            .toArrow()
         )
         words = np.zeros(1 << max(0, log_bits - 6), np.uint64)
-        words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+        words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
         return cls(words, log_bits)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:

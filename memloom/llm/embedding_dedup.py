@@ -67,7 +67,7 @@ def sample_pivots(classes: DataFrame, n: int, dim: int) -> np.ndarray:
     """At most about 2 * sqrt(n) vectors, the first by a hash of their ids that are APART, of four times as many; shorter ones are padded with zeros to dim."""
     bound = max(1, min(PIVOTS_MOST, PIVOT_FLOATS // max(dim, 1)))
     most = int(min(bound, max(PIVOTS_LEAST, 2 * n**0.5)))
-    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(bound, 4 * most)).select("v").toPandas()["v"]
+    rows = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(bound, 4 * most)).select("v").toArrow().to_pandas()["v"]
     return thin(unit([np.pad(np.asarray(v, np.float64), (0, dim - len(v))) for v in rows]), most)
 
 

@@ -185,7 +185,7 @@ def _search_wave(chunks: DataFrame, wave: _Wave, dim: int, k: int) -> DataFrame:
         else:
             bins = bins.withColumn("need", F.lit(need).cast("long"))
         at = bins.withColumn("upto", upto).where(F.col("upto") >= F.col("need")).groupBy("query_id").agg(F.max_by(F.struct("bin", (F.col("upto") - F.col("n")).alias("above")), "bin").alias("hit"))
-        got = at.select("query_id", "hit.bin", "hit.above").toPandas()  # one row a query of the wave
+        got = at.select("query_id", "hit.bin", "hit.above").toArrow().to_pandas()  # one row a query of the wave
         wave.narrow(*(got[c].to_numpy(np.int64) for c in ("query_id", "bin", "above")))
     near = chunks.mapInPandas(_keep(sc.broadcast(wave), dim, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -213,7 +213,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024
     asked = materialize(one, "queries") if n_waves > 1 else one
     out = None
     for i in range(n_waves):
-        got = asked.where(F.col("wave") == i).select("vec_id", "v").toPandas().sort_values("vec_id")
+        got = asked.where(F.col("wave") == i).select("vec_id", "v").toArrow().to_pandas().sort_values("vec_id")
         if len(got):
             found = _search_wave(chunks, _Wave(got["vec_id"].to_numpy(np.int64), _integers(got["v"].tolist(), scale, dim), longest, k), dim, k)
             found = materialize(found, "wave") if n_waves > 1 else found

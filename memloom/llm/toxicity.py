@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             rows = [np.packbits(np.isin(chosen, np.frombuffer(f, np.uint32))).tobytes() for f in b["found"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "bits": rows})
 
-    got = seen.select("doc_id", "toxic", "found").mapInPandas(bits, "doc_id long, toxic int, bits binary").toPandas().sort_values("doc_id")
+    got = seen.select("doc_id", "toxic", "found").mapInPandas(bits, "doc_id long, toxic int, bits binary").toArrow().to_pandas().sort_values("doc_id")
     swaps = seen.select(F.explode("swaps").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).orderBy("pair").collect()  # pairs of one identity group
     size = -(-len(chosen) // 8)
     x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(len(got), size), axis=1)[:, : len(chosen)]
