@@ -90,14 +90,8 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL HAVING count(*) >= 20")
-def term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
-    d = fx.table(spark, sf, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("id"), "text")
-    return lexical.term_frequencies(d).where("tf >= 20").select(F.col("id").alias("doc_id"), "term", "tf")
-
-
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL")
-def term_frequencies_all(spark: SparkSession, sf: str) -> DataFrame:
+def term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.table(spark, sf, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("id"), "text")
     return lexical.term_frequencies(d).select(F.col("id").alias("doc_id"), "term", "tf")
 
@@ -581,7 +575,7 @@ def lifecycle_update(spark: SparkSession, sf: str) -> DataFrame:
     return memory.set_lifecycle(m, none, changed)[0].select("memory_id", "lifecycle")
 
 
-@query("""WITH RECURSIVE l AS (SELECT conv_id || ':' || turn AS a, conv_id || ':' || (turn + 1) AS b FROM conversations WHERE turn + 1 < 8 AND (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM conversations)),
+@query("""WITH RECURSIVE l AS (SELECT conv_id || ':' || turn AS a, conv_id || ':' || (turn + 1) AS b FROM conversations WHERE (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM conversations)),
 w AS (SELECT a AS start, b AS node, 1 AS steps FROM l UNION ALL SELECT w.start, l.b, steps + 1 FROM w JOIN l ON l.a = w.node)
 SELECT start AS memory_id, arg_max(node, steps) AS head, CAST(max(steps) AS BIGINT) AS steps FROM w GROUP BY start""".replace("(conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM conversations)", "EXISTS (FROM conversations d WHERE d.conv_id = conversations.conv_id AND d.turn = conversations.turn + 1)"))
 def supersede_chain(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ A revision holds at t if known_at <= t and it isn't retired by t.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import pandas as pd
@@ -195,9 +196,16 @@ class _Line:
 
     def __init__(self) -> None:
         self.revisions: dict[tuple, list[tuple]] = defaultdict(list)
+        self.below: dict[object, list] = defaultdict(list)  # a node's children at any time
+        self.times: list = []  # when anything changes, in order
 
     def children(self, node, at) -> list:
-        return [c for (p, c), spans in self.revisions.items() if p == node and any(k <= at and (r is None or r > at) for k, r in spans)]
+        return [c for c in self.below[node] if any(k <= at and (r is None or r > at) for k, r in self.revisions[node, c])]
+
+    def _note(self, at) -> None:
+        i = bisect_left(self.times, at)
+        if i == len(self.times) or self.times[i] != at:
+            self.times.insert(i, at)
 
     def reaches(self, start, target, at) -> bool:
         todo, seen = {start}, set()
@@ -214,16 +222,21 @@ class _Line:
             return "self"
         if self.reaches(parent, child, at):
             return "implied"  # an edge, or a shortcut past other edges
-        times = {at} | {t for spans in self.revisions.values() for span in spans for t in span if t is not None and t >= at}
-        if any(self.reaches(child, parent, t) for t in times):
+        if any(self.reaches(child, parent, t) for t in [at, *self.times[bisect_left(self.times, at) :]]):
             return "cycle"
+        if (parent, child) not in self.revisions:
+            self.below[parent].append(child)
         self.revisions[parent, child].append((at, None))
+        self._note(at)
         return "added"
 
     def retire(self, parent, child, at) -> str:
         spans = self.revisions.get((parent, child), [])
+        if not spans:
+            return "unknown"
+        self._note(at)
         self.revisions[parent, child] = [(k, at if r is None or r > at else r) for k, r in spans]
-        return "retired" if spans else "unknown"
+        return "retired"
 
 
 def insert_edges(events: DataFrame) -> DataFrame:
@@ -250,12 +263,15 @@ def insert_edges(events: DataFrame) -> DataFrame:
     return e.groupBy("line_id").applyInPandas(fold, ", ".join(f"{c} {k}" for c, k in kinds) + ", outcome string")
 
 
-def tree_report(edges: DataFrame, labels: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(line_id, place, depth, node, text): each line's nodes as an indented outline, a child under its smallest parent."""
+def tree_report(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(line_id, place, depth, node, text): each line's nodes as an indented outline, a child under its smallest parent.
+
+    Levels are followed to the deepest; nodes of a cycle hang under no root and aren't shown.
+    """
     one = edges.groupBy("line_id", "child").agg(F.min("parent").alias("parent"))
     roots = labels.join(one.select(F.col("child").alias("node")), "node", "left_anti").select("line_id", "node", F.array("node").alias("path"))
     all_paths, last = roots, roots
-    for _ in range(max_depth):
+    while True:  # every child has one parent, so a node is reached once and the levels end
         last = last.join(one.select(F.col("child").alias("next"), F.col("parent").alias("node")), "node").select("line_id", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         last = materialize(last, "outline")
         if not last.limit(1).count():

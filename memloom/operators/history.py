@@ -5,6 +5,7 @@ messages: user_id, session_id, request_id, record_id, idx, role, content, occurr
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -124,35 +125,51 @@ def prefix_sizes(messages: DataFrame, policy: WindowPolicy) -> DataFrame:
     return messages.withColumn("size", counted_size(policy)).withColumn("upto", F.sum("size").over(w))
 
 
+class _Cuts:
+    """Where windows end: positions are numbers of messages, so a window from `at` to `end` holds messages at..end-1.
+
+    Sizes are summed and breaks listed once, and each window is found by bisection.
+    """
+
+    def __init__(self, sizes: list[int], breaks: list[bool], policy: WindowPolicy) -> None:
+        self.upto = [0, *accumulate(sizes)]
+        self.breaks = [i for i, b in enumerate(breaks) if b]
+        self.n, self.policy = len(sizes), policy
+
+    def _break_in(self, low: int, high: int, last: bool) -> int | None:
+        """The first or last natural break at one of the positions low..high."""
+        a, b = bisect_left(self.breaks, low), bisect_right(self.breaks, high)
+        return (self.breaks[b - 1] if last else self.breaks[a]) if a < b else None
+
+    def end(self, at: int, final: bool) -> int | None:
+        """The end of the window that starts at `at`; None: wait for more."""
+        p, start = self.policy, self.upto[at]
+        full = bisect_right(self.upto, start + p.hard) - 1  # the last end within the hard cap
+        most = min(full, at + p.max_messages) if p.max_messages else full
+        enough = max(bisect_left(self.upto, start + p.soft, at), at + 1)
+        natural = self._break_in(enough, min(most, self.n - 1), last=False)
+        if natural is None and p.max_messages and self.n - at > p.max_messages:
+            late = self._break_in(at + max(p.max_messages // 2, 1), most, last=True)
+            return max(most, at + 1) if late is None else late
+        if natural is None and self.n > at and self.upto[-1] - start >= p.hard:
+            return max(full, at + 1)
+        return natural if natural is not None else self.n if final and self.n > at else None
+
+
 def next_cut(sizes: list[int], breaks: list[bool], policy: WindowPolicy, final: bool) -> int | None:
     """How many of the pending messages the next window takes; None: wait for more.
 
     sizes, breaks: per pending message; breaks[i] says that a natural break lies before message i.
     """
-    n, cap = len(sizes), policy.max_messages
-    upto = list(accumulate(sizes))  # upto[i - 1] is the size of the first i messages
-    fits = [i for i in range(1, n + 1) if upto[i - 1] <= policy.hard]
-    allowed = [i for i in fits if not cap or i <= cap]
-    early = (i for i in allowed if i < n and upto[i - 1] >= policy.soft and breaks[i])
-    if (first := next(early, None)) is not None:
-        return first
-    if cap and n > cap:
-        late = [i for i in allowed if i >= cap // 2 and breaks[i]]
-        return late[-1] if late else max([1, *allowed])
-    if n and upto[-1] >= policy.hard:
-        return max([1, *fits])
-    return n if final and n else None
+    return _Cuts(sizes, breaks, policy).end(0, final)
 
 
 def all_cuts(sizes: list[int], breaks: list[bool], policy: WindowPolicy, final: bool = True) -> list[tuple[int, int]]:
     """(first, end) of every window that closes, one after the other."""
-    out, at = [], 0
-    while at < len(sizes):
-        take = next_cut(sizes[at:], [False, *breaks[at + 1 :]], policy, final)
-        if take is None:
-            break
-        out.append((at, at + take))
-        at += take
+    cuts, out, at = _Cuts(sizes, breaks, policy), [], 0
+    while at < len(sizes) and (end := cuts.end(at, final)) is not None:
+        out.append((at, end))
+        at = end
     return out
 
 

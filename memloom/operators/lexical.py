@@ -29,8 +29,8 @@ def question_terms(questions: DataFrame, text_tokens: Column | None = None) -> D
     return questions.select("question_id", "scope", F.explode(F.array_distinct(t)).alias("term"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, count_empty: bool = False, positive_only: bool = False) -> DataFrame:
-    """(question_id, id, score, rank): each question's k best texts of its scope, by score, then id.
+def bm25(docs: DataFrame, questions: DataFrame, k: int | None, k1: float = 1.5, b: float = 0.75, count_empty: bool = False, positive_only: bool = False) -> DataFrame:
+    """(question_id, id, score, rank): each question's k best texts of its scope (None: all that share a term), by score, then id.
 
     docs: scope, id, text; questions: question_id, scope, text. N, df and the mean length are per scope; texts without
     tokens don't count unless count_empty. Scores are rounded to 6 places before they are ranked.
@@ -56,7 +56,8 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, k1: float = 1.5, b: floa
     return top(scores, k)
 
 
-def top(scores: DataFrame, k: int, by: str = "question_id") -> DataFrame:
+def top(scores: DataFrame, k: int | None, by: str = "question_id") -> DataFrame:
     """The k best per question by score, ties to the smaller id, with their rank."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = scores.withColumn("rank", rank)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -137,10 +137,17 @@ def recoverable(jobs: DataFrame, limit: int) -> DataFrame:
 # ---------------------------------------------------------------- change queue
 
 
+#: Targets up to which their list is broadcast.
+BROADCAST_TARGETS = 1000
+
+
 def enqueue(queue: DataFrame, memories: DataFrame, targets: DataFrame) -> DataFrame:
     """queue with an intent for every memory and target (target) that has none."""
     intent = F.concat(F.lit("projection-"), F.sha2(F.to_json(F.array("memory_id", "target")), 256))
-    all_ = memories.select("memory_id").distinct().crossJoin(F.broadcast(targets.select("target").distinct().limit(1000)))  # targets are a short, registered list
+    names = targets.select("target").distinct()
+    short = names.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS
+    one = F.lit(0).alias("one")  # an intent for each pair is what is asked for
+    all_ = memories.select("memory_id", one).distinct().join((F.broadcast if short else lambda x: x)(names.select("target", one)), "one")
     new = all_.select(intent.alias("intent_id"), "memory_id", "target").join(queue.select("intent_id"), "intent_id", "left_anti")
     fill = {"operation": F.lit("upsert"), "status": F.lit("pending"), "attempts": F.lit(0), "provider_ref": F.lit(None).cast("string"), "last_error": F.lit(None).cast("string"), "generation": F.lit(0)}
     return queue.unionByName(new.withColumns(fill).select(*queue.columns))

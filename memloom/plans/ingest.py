@@ -13,6 +13,7 @@ from memloom.operators.history import WindowPolicy, cut_windows, pending
 from memloom.operators.memory import admit
 from memloom.sources.requests import append_requests, check_requests
 from memloom.sources.store import Store
+from memloom.streaming.windows import first_of
 
 #: A compiler: messages of one window (dicts, in order) -> blocks (dicts with text, sources, happened, under).
 Compiler = Callable[[list[dict]], list[dict]]
@@ -41,13 +42,21 @@ def compile_windows(messages: DataFrame, windows: DataFrame, compiler: Compiler
 
 
 def journal(windows: DataFrame, compiled: DataFrame) -> DataFrame:
-    """windows and the newly compiled ones; the first entry of a window stays."""
-    return windows.unionByName(compiled.dropDuplicates(["window_id"]).join(windows.select("window_id"), "window_id", "left_anti"))
+    """windows and the newly compiled ones; what a window has stays, and of several new entries the smallest."""
+    return windows.unionByName(first_of(compiled, "window_id").join(windows.select("window_id"), "window_id", "left_anti"))
+
+
+def drop_unfinished(store: Store) -> None:
+    """Messages are written before their requests, so messages without one are what a crash left, and a replay brings them again."""
+    messages, done = store.read("messages"), store.read("requests").select("request_id")
+    if messages.join(done, "request_id", "left_anti").limit(1).count():
+        store.write("messages", messages.join(done, "request_id", "left_semi"))
 
 
 def add(store: Store, requests: DataFrame, received_at: Column, policy: WindowPolicy, compiler: Compiler = one_block_a_message, final: bool = False) -> DataFrame:
     """Take requests (body) into the store: raw rows first, then the windows that close, their blocks as memories. Returns refused bodies and conflicts."""
     valid, rejected = check_requests(requests)
+    drop_unfinished(store)
     new_requests, new_messages, conflicts = append_requests(valid, store.read("requests"), store.read("messages"), received_at)
     store.append("messages", new_messages)
     store.append("requests", new_requests)

@@ -23,30 +23,45 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self, name: str) -> list[int]:
+    def _folders(self, name: str) -> list[tuple[int, int]]:
+        """(version, part) of all finished folders: v3 is part 0 of version 3, v3.1 what was appended to it first."""
         p, fs = self._path(name)
         if not fs.exists(p):
             return []
         jvm = self.spark.sparkContext._jvm
         done = [s.getPath() for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(x.getName().removeprefix("v")) for x in done)
+        numbers = (x.getName().removeprefix("v").partition(".") for x in done)
+        return sorted((int(version), int(part or 0)) for version, _, part in numbers)
+
+    def versions(self, name: str) -> list[int]:
+        return sorted({version for version, _ in self._folders(name)})
 
     def read(self, name: str) -> DataFrame:
         """The newest version with its declared schema; an empty table if there is none."""
-        v = self.versions(name)
-        if not v:
+        folders = self._folders(name)
+        if not folders:
             return self.spark.createDataFrame([], schemas.of(name))
-        return self.spark.read.schema(schemas.of(name)).parquet(f"{self.root}/{name}/v{v[-1]}")
+        newest = [f"{self.root}/{name}/v{v}" + (f".{part}" if part else "") for v, part in folders if v == folders[-1][0]]
+        return self.spark.read.schema(schemas.of(name)).parquet(*newest)
 
-    def write(self, name: str, df: DataFrame, partition_by: Iterable[str] = ()) -> None:
-        """A new version of a table. Its rows may come from older versions."""
+    def _save(self, name: str, df: DataFrame, folder: str, partition_by: Iterable[str] = ()) -> None:
         if self.read_only:
             raise PermissionError("the store is open for reading only")
+        df.select(*schemas.of(name).names).write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{folder}")
+
+    def write(self, name: str, df: DataFrame, partition_by: Iterable[str] = ()) -> None:
+        """A new version of a table. Its rows may come from older versions."""
         v = self.versions(name)
-        df.select(*schemas.of(name).names).write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/v{(v[-1] if v else 0) + 1}")
+        self._save(name, df, f"v{(v[-1] if v else 0) + 1}", partition_by)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(df.select(*schemas.of(name).names)))
+        """More rows of the newest version, in a folder beside it: what is there isn't written again until `compact`."""
+        folders = self._folders(name)
+        self._save(name, df, f"v{folders[-1][0]}.{folders[-1][1] + 1}" if folders else "v1")
+
+    def compact(self, name: str) -> None:
+        """The newest version and all that was appended to it as one new version."""
+        self.write(name, self.read(name))
 
     def wipe(self, name: str) -> None:
         """A new, empty version: derived tables can be built again."""

@@ -61,13 +61,19 @@ def flush(messages: DataFrame, closed: DataFrame, policy: WindowPolicy) -> DataF
     return cut_windows(pending(messages, closed), policy, final=True).drop("raw_only")
 
 
+def first_of(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key: the smallest by all columns, in their order, so that every run keeps the same one."""
+    least = F.min(F.struct(*[F.col(c) for c in rows.columns])).alias("row")
+    return rows.groupBy(key).agg(least).select("row.*")
+
+
 def first_wins_sink(path: str, key: str = "window_id"):
-    """A foreachBatch writer that appends rows under new keys only, so a repeated batch changes nothing."""
+    """A foreachBatch writer that appends rows under new keys only, so a repeated batch changes nothing; of a batch's rows of one key the smallest stays."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        new = batch.dropDuplicates([key])
+        new = first_of(batch, key)
         if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             new = new.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti")
         new.write.mode("append").parquet(path)

@@ -55,5 +55,5 @@ def test_all_term_frequencies_equal_a_count(spark, tmp_path):
 
     rows = [(1, "a b a"), (2, "b"), (3, " ".join(["c"] * 25)), (4, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {tuple(r) for r in catalogue.QUERIES["term_frequencies_all"](spark, str(tmp_path)).select("doc_id", "term", "tf").collect()}
+    got = {tuple(r) for r in catalogue.QUERIES["term_frequencies"](spark, str(tmp_path)).select("doc_id", "term", "tf").collect()}
     assert got == {(i, w, n) for i, t in rows for w, n in Counter(t.split()).items()}

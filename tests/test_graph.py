@@ -108,3 +108,16 @@ def test_the_terminator_moves_with_time(spark):
     known = spark.createDataFrame([("n7", "old")], "node_id string, block_id string")
     got = {(r.by_memory_id, r.memory_id, r.ok) for r in tense.settle_references(sig, known).collect()}
     assert got == {("y", "x", True), ("y", None, False), ("y", "old", True), ("x", None, False)}
+
+
+def test_outline_of_a_long_chain_and_intents_for_many_targets(spark):
+    from memloom import schemas
+    from memloom.operators import memory
+
+    n = 70
+    edges = spark.createDataFrame([("l", i, i + 1) for i in range(n)], "line_id string, parent long, child long")
+    labels = spark.createDataFrame([("l", i, f"n{i}") for i in range(n + 1)], "line_id string, node long, label string")
+    assert {r.node: r.depth for r in graph.tree_report(edges, labels).collect()} == {i: i for i in range(n + 1)}
+    targets = spark.range(1500).selectExpr("CAST(id AS string) AS target")
+    memories = spark.createDataFrame([("a",), ("b",)], "memory_id string")
+    assert memory.enqueue(spark.createDataFrame([], schemas.of("projection_queue")), memories, targets).count() == 3000
