@@ -143,7 +143,12 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "benchmark").select("item_id", scalars.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query()
+@query(r"""WITH r AS (SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)), 1) AS i FROM documents),
+g AS (SELECT *, regexp_matches(line, '\S') AS solid, sum(CASE WHEN regexp_matches(line, '\S') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM r),
+p AS (SELECT doc_id, part, any_value(text) AS text, string_agg(line, chr(10) ORDER BY i) AS paragraph FROM g WHERE solid GROUP BY doc_id, part),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS k, count(*) OVER (PARTITION BY doc_id) AS c FROM p)
+SELECT doc_id, k, CAST(length(CASE WHEN c = 1 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE paragraph END) AS INTEGER) AS n_chars FROM n
+UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '\S')""")
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", F.posexplode(text.paragraphs_udf("text")).alias("k", "paragraph")).select("doc_id", "k", F.length("paragraph").alias("n_chars"))
@@ -157,13 +162,15 @@ def anchor_span(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("item_id", text.anchor_udf("text", F.upper(first), last).alias("span"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), r AS (SELECT *, 1 + conv_id % (n + 2) AS a, 1 + conv_id * 3 % (n + 2) AS b FROM c)
+SELECT conv_id, coalesce(array_to_string(list_transform(range(least(a, b), least(greatest(a, b), n) + 1), lambda x: x - 1), ','), '') AS messages FROM r""")
 def parse_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Turn ranges over the conversations' messages, by paragraphs."""
+    """A turn range of its own for each conversation, over its messages by paragraphs; ranges may be reversed or reach past the end."""
     c = fx.table(spark, sf, "conversations").select("conv_id", "turn", text.paragraphs_udf("text").alias("p"))
     lists = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.size("p").alias("n")))), lambda x: x.n).alias("counts"))
-    parse = F.udf(lambda counts: [sorted(text.turns("M1-M2, M3.2-M4.1", len(counts), counts)[0])], "array<array<int>>")
-    return lists.select("conv_id", parse("counts")[0].alias("messages"))
+    n = F.size("counts").cast("long")
+    asked = F.concat(F.lit("M"), 1 + F.col("conv_id") % (n + 2), F.lit("-M"), 1 + F.col("conv_id") * 3 % (n + 2))
+    return lists.select("conv_id", text.turns_udf(asked, "counts").alias("messages")).select("conv_id", F.array_join("messages", ",").alias("messages"))
 
 
 # ---------------------------------------------------------------- history
@@ -726,3 +733,6 @@ def compile_answers(spark: SparkSession, sf: str) -> DataFrame:
         return len(parsers.chat_blocks(answer, roles))
 
     return c.select("conv_id", F.udf(blocks, "int")("rows").alias("n_blocks"))
+
+
+from memloom import catalogue_tables  # noqa: E402, F401  (registers its queries here)
