@@ -31,6 +31,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BATCH, MISS = 24, 5, 24, 1e-5
 #: Classes of a group, and bytes of their full sets, about.
 CLUSTER, GROUP_BYTES = 512, 16 << 20
+#: Parts that the members of a bucket are dealt to while they get their blocks.
+SALTS = 64
 SIGNATURE = BANDS * ROWS
 
 
@@ -233,8 +235,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int, k: int) -> D
     of = member.groupBy("cluster").agg(*size).select("cluster", blocks)
     member = member.join(of, "cluster")
     small = member.where("blocks = 1").select(F.lit(True).alias("whole"), F.col("cluster").alias("key"), "rep", "blocks")
-    split = shared.select("key", "rep").join(member.where("blocks > 1").select("rep", "bytes"), "rep")
-    large = split.join(split.groupBy("key").agg(*size).select("key", blocks), "key").select(F.lit(False).alias("whole"), "key", "rep", "blocks")
+    split = shared.select("key", "rep").join(member.where("blocks > 1").select("rep", "bytes"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(SALTS).cast("long")))
+    # only buckets of several blocks are looked up, and a bucket's members meet them under SALTS keys
+    sized = split.groupBy("key").agg(*size).select("key", blocks).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    large = split.join(sized, ["key", "salt"], "left").select(F.lit(False).alias("whole"), "key", "rep", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     rows = (
         small.unionByName(large)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
