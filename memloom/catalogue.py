@@ -735,4 +735,4 @@ def compile_answers(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", F.udf(blocks, "int")("rows").alias("n_blocks"))
 
 
-from memloom import catalogue_tables  # noqa: E402, F401  (registers its queries here)
+from memloom import catalogue_logs, catalogue_tables  # noqa: E402, F401  (register their queries here)
