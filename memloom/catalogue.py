@@ -705,16 +705,21 @@ def paired_diff(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.paired(_judged(spark, sf), "A", "B", rounds=200)
 
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Evidence items for a table of questions: search, upward fusion, readout along the lines."""
+def _evidence(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Units, blocks, messages and edges of the conversations, as line_readout takes them."""
     m = fx.messages(spark, sf)
     places = history.places(m).select("record_id", "session_no")
     told = m.join(places, "record_id").select("record_id", "content", "role", "occurred_at", "time_given", "session_no", "seq")
     b = fx.blocks(spark, sf).join(places, "record_id")
-    blocks = b.select("block_id", F.col("user_id").alias("scope"), "text", F.when(F.col("time_given"), F.col("occurred_at")).alias("occurred_at"), F.lit(True).alias("past"), "session_no", "seq", F.array("record_id").alias("sources"))
+    blocks = b.select("block_id", F.col("user_id").alias("scope"), "text", F.when(F.col("time_given"), F.col("occurred_at")).alias("occurred_at"), F.lit(True).alias("past"), "session_no", "seq", F.array("record_id").alias("sources"), F.concat(F.lit("s"), "session_id").alias("stretch_id"))
     e = fx.edges(spark, sf).select(F.concat(F.lit("sb:"), "parent").alias("parent"), F.concat(F.lit("sb:"), "child").alias("child"))
-    units = fx.units(spark, sf).withColumn("record_id", F.col("id"))
-    return search.line_readout(fx.questions(spark, sf), units, blocks, told, e, readout.Policy(raw_fill=10))
+    return {"units": fx.units(spark, sf).withColumn("record_id", F.col("id")), "blocks": blocks, "messages": told, "edges": e}
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence items for a table of questions: search, upward fusion, readout along the lines."""
+    t = _evidence(spark, sf)
+    return search.line_readout(fx.questions(spark, sf), t["units"], t["blocks"].drop("stretch_id"), t["messages"], t["edges"], readout.Policy(raw_fill=10))
 
 
 @query()
@@ -722,6 +727,47 @@ def readout_items(spark: SparkSession, sf: str) -> DataFrame:
     return flagship(spark, sf).select("question_id", "place", "id", "kind", "content", "score")
 
 
+_LETTERS = "etaoinshrdlucmfw"
+
+
+def _letter_vectors(t: Column) -> Column:
+    """A vector that needs no model: how often each of 16 letters stands in the text."""
+    return F.array(*(((F.length(t) - F.length(F.translate(t, x, ""))).cast("double")) for x in _LETTERS))
+
+
+_LETTERS_SQL = "[" + ", ".join(f"CAST(length(text) - length(replace(text, '{x}', '')) AS DOUBLE)" for x in _LETTERS) + "]"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, conv_id || ':' || turn AS id FROM conversations), v AS (SELECT *, {_LETTERS_SQL} AS v FROM c),
+q AS (SELECT conv_id, arg_min(v, turn) AS q FROM v GROUP BY conv_id),
+p AS (SELECT h.conv_id, h.turn, b.id AS block_id, list_dot_product(q.q, b.v) AS d, sqrt(list_dot_product(q.q, q.q)) * sqrt(list_dot_product(b.v, b.v)) AS norm
+  FROM v h JOIN v b ON b.conv_id = h.conv_id AND (b.turn = h.turn OR b.turn = h.turn + 1) JOIN q ON q.conv_id = h.conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS question_id, CAST(turn + 1 AS BIGINT) AS rank, block_id AS id FROM p
+QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN norm > 0 THEN d / norm ELSE 0 END DESC, block_id) = 1""")
+def closest_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of a message and the one before it; each message's block nearest its conversation's first message."""
+    c = fx.table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("question_id"), "turn", F.coalesce("text", F.lit("")).alias("text"), F.concat_ws(":", "conv_id", "turn").alias("id"))
+    v = c.withColumn("vector", _letter_vectors(F.col("text")))
+    blocks = v.select(F.col("id").alias("block_id"), F.array("id", F.concat_ws(":", "question_id", F.col("turn") - 1)).alias("sources"))
+    vectors = v.groupBy("question_id").agg(F.min_by("vector", "turn").alias("vector")), v.select(F.col("id").alias("block_id"), "vector")
+    return readout.closest_blocks(c.select("question_id", (F.col("turn") + 1).cast("long").alias("rank"), "id"), blocks, vectors)
+
+
+@query()
+def readout_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The readout with all it can take: stretches (a session each), standing steps, vectors, passages (the whole item) and languages."""
+    t = _evidence(spark, sf)
+    asked = fx.questions(spark, sf)
+    passages = fx.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), (F.col("item_id") % 10).cast("string").alias("scope"), "text")
+    stretches = t["blocks"].groupBy("stretch_id").agg(F.max_by("text", "seq").alias("summary"), F.array_sort(F.collect_list("block_id")).alias("members"))
+    standing = t["blocks"].groupBy("scope").agg(F.min_by("block_id", "seq").alias("block_id"))
+    languages = asked.select("question_id", F.when(F.col("question_id").cast("long") % 5 == 0, "zh").otherwise("en").alias("lang"))
+    vectors = asked.select("question_id", _letter_vectors(F.col("text")).alias("vector")), t["blocks"].select("block_id", _letter_vectors(F.col("text")).alias("vector"))
+    policy = readout.Policy(raw_fill=10, hit_anchors=True, thread_k=2, thread_span=True, forget_scope=True)
+    out = search.line_readout(asked, t["units"], t["blocks"].drop("stretch_id"), t["messages"], t["edges"], policy, standing=standing, stretches=stretches, vectors=vectors, passages=passages, languages=languages)
+    return out.select("question_id", "place", "id", "kind", "content", "score")
+
+
 @query()
 def compile_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Model answers written from the conversations (a block a message), read back as blocks."""

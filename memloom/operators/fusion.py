@@ -57,12 +57,12 @@ def upward(raw_hits: DataFrame, blocks_of: DataFrame, block_hits: DataFrame, lim
 
     raw_hits: question_id, rank, id (record); blocks_of: record_id, block_id, ord; block_hits: question_id, rank, id.
     A record's rank goes to all its blocks, or with closest (question_id, block_id, relevance) to the most relevant.
-    Ties go to what appears first: through the records in their order, then through the block hits.
+    Ties go to what appears first: through the records in their order, then through the block hits; then to the smaller id.
     """
     reached = raw_hits.select("question_id", "rank", F.col("id").alias("record_id")).join(blocks_of, "record_id")
     all_reached = reached.select("question_id", F.struct(F.lit(0).alias("route"), F.col("rank").alias("rank"), F.col("ord").alias("ord")).alias("seen"), F.col("block_id").alias("id"), "rank")
     if closest is not None:
-        best = Window.partitionBy("question_id", "record_id").orderBy(F.desc(F.coalesce("relevance", F.lit(0.0))), "ord")
+        best = Window.partitionBy("question_id", "record_id").orderBy(F.desc(F.coalesce("relevance", F.lit(0.0))), "ord", "block_id")
         reached = reached.join(closest, ["question_id", "block_id"], "left").withColumn("__n", F.row_number().over(best)).where("__n = 1")
     route_raw = reached.select("question_id", F.col("block_id").alias("id"), "rank")
     route_block = block_hits.select("question_id", "id", "rank")
@@ -70,7 +70,7 @@ def upward(raw_hits: DataFrame, blocks_of: DataFrame, block_hits: DataFrame, lim
     by_block = block_hits.select("question_id", F.struct(F.lit(1).alias("route"), F.col("rank").alias("rank"), F.lit(0).cast("long").alias("ord")).alias("seen"), "id")
     seen = all_reached.select("question_id", F.struct(F.col("seen.route").alias("route"), F.col("seen.rank").alias("rank"), F.col("seen.ord").cast("long").alias("ord")).alias("seen"), "id").unionByName(by_block)
     first = seen.groupBy("question_id", "id").agg(F.min("seen").alias("seen"))
-    return _ranked(scores.join(first, ["question_id", "id"]), limit, "seen").drop("seen")
+    return _ranked(scores.join(first, ["question_id", "id"]), limit, "seen", "id").drop("seen")
 
 
 def hyde_fallback(original: DataFrame, hypothetical: DataFrame, limit: int, least: int = 3, rrf_k: int = RRF_K) -> DataFrame:

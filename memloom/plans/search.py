@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.operators.fusion import fuse, fuse_records, upward
+from memloom.operators.fusion import candidate_limit, fuse, fuse_records, hyde_augmented, upward
 from memloom.operators.lexical import bm25
-from memloom.operators.readout import Policy, readout
+from memloom.operators.readout import Policy, closeness, readout
 from memloom.stage import materialize
 
 MAX_QUERY, POOL = 4096, 200
@@ -38,15 +38,32 @@ def records_of(hits: DataFrame, units: DataFrame, limit: int) -> DataFrame:
     return fuse_records(own, limit).select("question_id", "rank", "id")
 
 
-def line_readout(questions: DataFrame, units: DataFrame, blocks: DataFrame, messages: DataFrame, edges: DataFrame, policy: Policy = Policy(), top_k: int = 100) -> DataFrame:
+def line_readout(
+    questions: DataFrame, units: DataFrame, blocks: DataFrame, messages: DataFrame, edges: DataFrame, policy: Policy = Policy(), top_k: int = 100, lang: str = "en", standing: DataFrame | None = None,
+    stretches: DataFrame | None = None, vectors: tuple[DataFrame, DataFrame] | None = None, passages: DataFrame | None = None, languages: DataFrame | None = None,
+) -> DataFrame:
     """The flagship plan: raw hits and block hits, fused upward to blocks, read out along their lines.
 
-    units: scope, id, record_id, text; blocks: block_id, scope, text, occurred_at, past, session_no, seq, sources;
-    messages: record_id, content, role, occurred_at, time_given, session_no, seq; edges: parent, child.
+    units: scope, id, record_id, text; blocks: block_id, scope, text, and what readout takes; messages, edges, stretches, vectors,
+    languages: as in readout; standing: scope, block_id; passages: question_id, scope, text, hypothetical ones whose hits are fused
+    with the question's own (a question without one, or with a blank one, is searched alone).
     """
-    hits = raw_search(units, questions, max(policy.raw_k, policy.raw_fill))
-    raw = materialize(records_of(hits, units, max(policy.raw_k, policy.raw_fill)), "raw")
-    block_hits = bm25(blocks.select("scope", F.col("block_id").alias("id"), "text"), questions, min(policy.sb_k, 100)).select("question_id", "rank", "id")
+    most = max(policy.raw_k, policy.raw_fill)
+    pool = raw = materialize(records_of(raw_search(units, questions, most), units, most), "raw")
+    own = blocks.select("scope", F.col("block_id").alias("id"), "text")
+    limit = min(policy.sb_k, 100)
+    if passages is None:
+        block_hits = bm25(own, questions, limit).select("question_id", "rank", "id")
+    else:
+        asked = passages.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+        extra = records_of(raw_search(units, asked, policy.raw_k), units, policy.raw_k)
+        lists = raw.where(F.col("rank") <= policy.raw_k).select("question_id", F.lit("0 question").alias("arm"), "rank", "id").unionByName(extra.select("question_id", F.lit("1 passage").alias("arm"), "rank", "id"))
+        raw = materialize(fuse_records(lists, policy.raw_k).select("question_id", "rank", "id"), "raw_fused")
+        deep = candidate_limit(limit)
+        block_hits = hyde_augmented(bm25(own, questions, deep), bm25(own, asked, deep), limit).select("question_id", "rank", "id")
+    heard = raw.where(F.col("rank") <= policy.raw_k)
     owners = blocks.select("block_id", F.posexplode("sources").alias("ord", "record_id")).select("record_id", "block_id", F.col("ord").cast("long").alias("ord"))
-    ranked = materialize(upward(raw.where(F.col("rank") <= policy.raw_k), owners, block_hits, policy.sb_k, policy.rrf_k).select("question_id", "rank", "id"), "ranked")
-    return readout(ranked, raw, blocks, messages, edges, policy, top_k=top_k)
+    reached = heard.select("question_id", F.col("id").alias("record_id")).join(owners, "record_id").select("question_id", "block_id").distinct()
+    ranked = materialize(upward(heard, owners, block_hits, policy.sb_k, policy.rrf_k, closeness(reached, vectors)).select("question_id", "rank", "id"), "ranked")
+    stands = None if standing is None else questions.select("question_id", "scope").join(standing.select("scope", F.col("block_id").alias("id")).distinct(), "scope").select("question_id", "id")
+    return readout(ranked, raw, blocks, messages, edges, policy, lang, top_k, stands, stretches, vectors, pool, languages)

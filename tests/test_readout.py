@@ -80,3 +80,102 @@ def test_the_whole_plan_runs(spark):
 
     items = catalogue.flagship(spark, "/root/testdata/sf0.001").collect()
     assert items and {i.kind for i in items} <= {"line", "source"}
+
+
+def _history(rng, n=60):
+    """Tables of one person's random history, and the whole of it as a Bundle, nothing left out."""
+    import json
+
+    texts = ["said nothing", "forget my address", "bought it [confirmed]", "code\nmore lines", "may go [likely; soon]", ""]
+    blocks, messages, edges = [], [], []
+    for i in range(n):
+        at = T + dt.timedelta(minutes=i) if i % 3 else None
+        sources = [f"r{i}"] + ([f"r{i - 1}"] if i % 4 == 3 else [])
+        spans = {f"r{i}": [1]} if i % 5 == 0 else {}
+        pointers = {"own": {f"r{i}": [[0, 4]]}, "parts": [], "chars": True} if i % 7 == 1 else None
+        later = [(2, 5)] if i % 6 == 2 else None
+        blocks.append((f"b{i:02}", f"{rng.choice(texts)}", at, i % 2 == 0, i // 10, i, sources, later, T, json.dumps(spans), json.dumps(pointers)))
+        messages.append((f"r{i}", f"first words {i}\n\nsecond words {i}", "user" if i % 2 else "assistant", T + dt.timedelta(minutes=i), bool(i % 3), i // 10, i, T))
+        if i and i % 10:
+            edges.append((f"b{rng.randrange(i // 10 * 10, i):02}", f"b{i:02}"))
+    return blocks, messages, edges
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_readout_equals_composing_the_whole_history(spark, seed):
+    import json
+    import random
+
+    import numpy as np
+
+    from memloom.operators.readout import readout
+
+    rng = random.Random(seed)
+    blocks, messages, edges = _history(rng)
+    names = [b[0] for b in blocks]
+    vec = lambda: [float(rng.randrange(-3, 4)) for _ in range(4)]
+    asked = {q: vec() for q in ("q1", "q2", "q3")}
+    known = {b: vec() for b in names if b != "b05"}
+    stretches = {f"t{k}": {"summary": f"stretch {k}", "members": names[k * 10 : k * 10 + 10] + (names[:1] if k else [])} for k in range(6)}
+    standing = {"q1": ["b01", "b31"], "q2": ["b59"]}
+    ranked = {q: rng.sample(names, 8) for q in asked}
+    pool = {q: [f"r{i}" for i in rng.sample(range(60), 8)] for q in ("q1", "q2")}
+    raw = {q: rng.sample(x, 6) for q, x in pool.items()}
+    policy = Policy(raw_k=5, sbs=3, raw_fill=8, hit_anchors=True, reach=2, gap=1, extend=4, thread_k=2, thread_sbs=3, thread_span=True, forget_scope=True)
+
+    def close(q, b):
+        v, w = np.array(asked[q]), np.array(known.get(b, [0.0] * 4))
+        return float(v @ w) / (np.linalg.norm(v) * np.linalg.norm(w) or 1)
+
+    def whole(q):
+        own = {}
+        for b in blocks:
+            for r in b[6]:
+                own.setdefault(r, []).append(b[0])
+        up = {}
+        for p, c in sorted(edges):
+            up.setdefault(c, []).append(p)
+        heard = raw.get(q, [])[: policy.raw_k]
+        steps = {b[0]: Step(b[1], b[2], b[3], (b[4], b[5]), tuple(b[7] or ()), None if b[2] else b[8], b[6], json.loads(b[9]), json.loads(b[10]), close(q, b[0])) for b in blocks}
+        told = {m[0]: Message(m[1], m[2], m[3] if m[4] else None, (m[5], m[6]), None if m[4] else m[7]) for m in messages}
+        best = [min(own[r], key=lambda b: (-steps[b].relevance, b)) for r in heard]
+        home = {q: v for q, v in stretches.items()}
+        return Bundle(ranked[q], heard, steps, told, up, standing.get(q, []), home, own, pool.get(q, []), [r for r in heard if r not in own], best)
+
+    def listed(d):
+        return spark.createDataFrame([(q, n, x) for q, xs in d.items() for n, x in enumerate(xs, 1)], "question_id string, rank int, id string")
+
+    tables = (
+        spark.createDataFrame(blocks, "block_id string, text string, occurred_at timestamp, past boolean, session_no int, seq long, sources array<string>, later array<struct<session_no:int,seq:long>>, session_at timestamp, spans string, pointers string"),
+        spark.createDataFrame(messages, "record_id string, content string, role string, occurred_at timestamp, time_given boolean, session_no int, seq long, session_at timestamp"),
+        spark.createDataFrame(edges, "parent string, child string"),
+    )
+    got = readout(
+        listed(ranked), listed(raw), *tables, policy, standing=listed(standing).drop("rank"), pool=listed(pool), languages=spark.createDataFrame([("q2", "zh")], "question_id string, lang string"),
+        stretches=spark.createDataFrame([(k, v["summary"], v["members"]) for k, v in stretches.items()], "stretch_id string, summary string, members array<string>"),
+        vectors=(spark.createDataFrame(list(asked.items()), "question_id string, vector array<double>"), spark.createDataFrame(list(known.items()), "block_id string, vector array<double>")),
+    ).collect()
+    for q in asked:
+        want = [(i["id"], i["content"], i["score"]) for i in within(compose(whole(q), policy, "zh" if q == "q2" else "en"), 100)]
+        assert [(r.id, r.content, r.score) for r in sorted((r for r in got if r.question_id == q), key=lambda r: r.place)] == want
+
+
+def test_a_passage_finds_what_the_question_does_not(spark):
+    from pyspark.sql import functions as F
+
+    from memloom.plans.search import line_readout
+
+    told = [("r1", "the red apple", 1), ("r2", "a green pear", 2), ("r3", "one more apple", 3)]
+    messages = spark.createDataFrame([(r, c, "user", T, True, 1, n) for r, c, n in told], "record_id string, content string, role string, occurred_at timestamp, time_given boolean, session_no int, seq long")
+    units = messages.select(F.lit("u").alias("scope"), F.col("record_id").alias("id"), "record_id", F.col("content").alias("text"))
+    blocks = messages.select(F.lit("u").alias("scope"), F.concat(F.lit("b:"), "record_id").alias("block_id"), F.col("content").alias("text"), "occurred_at", F.lit(True).alias("past"), "session_no", "seq", F.array("record_id").alias("sources"))
+    edges = spark.createDataFrame([], "parent string, child string")
+    asked = spark.createDataFrame([("q", "u", "apple")], "question_id string, scope string, text string")
+    passage = lambda text: spark.createDataFrame([("q", "u", text)], "question_id string, scope string, text string")
+    ids = lambda **more: sorted(r.id for r in line_readout(asked, units, blocks, messages, edges, **more).collect())
+    alone = ids()
+    assert alone == ["line:b:r1", "line:b:r3"]
+    assert ids(passages=passage("green pear")) == [*alone[:1], "line:b:r2", *alone[1:]]
+    assert ids(passages=passage(" ")) == alone
+    stands = spark.createDataFrame([("u", "b:r2"), ("other", "b:r1")], "scope string, block_id string")
+    assert ids(standing=stands) == [*alone, "standing"]
