@@ -95,6 +95,13 @@ def strength(total: np.ndarray, pos: np.ndarray, n: int, n_pos: int) -> np.ndarr
     return np.where((total < LEAST_DOCS) | (total == n), 0.0, z)
 
 
+def strength_column(total: Column, pos: Column, n: int, n_pos: int) -> Column:
+    """strength over columns of counts, to the same doubles."""
+    p, q, rate = pos / F.lit(float(n_pos)), (total - pos) / F.lit(float(n - n_pos)), total / F.lit(float(n))
+    z = F.abs(p - q) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * F.lit(1 / n_pos + 1 / (n - n_pos)))
+    return F.when((total < LEAST_DOCS) | (total == n), 0.0).otherwise(z)
+
+
 def solve(x: np.ndarray, y: np.ndarray, chosen: np.ndarray, swaps: list[tuple[str, str, int]]) -> Model:
     """Newton's method on log loss + ridge + counterfactual penalty; x: a row a text, a column of 0 and 1 for each feature of `chosen`."""
     n, n_pos = len(y), float(y.sum())
@@ -184,8 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not 0 < n_pos < n:
         return prior(n, n_pos)
     counts = seen.select("found", "toxic").mapInPandas(_counted, "feature long, total long, pos long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("pos").alias("pos"))
-    z = F.pandas_udf(lambda total, pos: pd.Series(strength(total.to_numpy(np.float64), pos.to_numpy(np.float64), n, n_pos)), "double")
-    best = counts.where(F.col("total") >= LEAST_DOCS).select("feature", z("total", "pos").alias("z")).where("z > 0").orderBy(F.desc("z"), "feature").limit(FEATURES)
+    best = counts.where(F.col("total") >= LEAST_DOCS).select("feature", strength_column(F.col("total"), F.col("pos"), n, n_pos).alias("z")).where("z > 0").orderBy(F.desc("z"), "feature").limit(FEATURES)
     chosen = np.sort(np.array([r.feature for r in best.collect()], np.uint32))
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

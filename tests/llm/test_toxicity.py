@@ -123,3 +123,16 @@ def test_fewer_false_positives_on_neutral_mentions():
         rates.append(np.mean([s >= 0.7 for s in neutral]))
         assert np.mean([s >= 0.5 for s in toxic]) > 0.8
     assert rates[0] > 0.5 and rates[1] < 0.1
+
+
+def test_strength_of_columns_is_that_of_arrays(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from memloom.llm.toxicity import strength, strength_column
+
+    rows = [(t, p) for t in range(0, 41) for p in range(0, min(t, 13) + 1)]
+    df = spark.createDataFrame(rows, "total long, pos long")
+    got = [r.z for r in df.select(strength_column(F.col("total"), F.col("pos"), 40, 13).alias("z")).collect()]
+    total, pos = np.array(rows, np.float64).T
+    assert got == strength(total, pos, 40, 13).tolist()
